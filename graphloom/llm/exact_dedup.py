@@ -23,15 +23,15 @@ COUNTERS = 256
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, digest): SHA-256 of the text with A-Z lower-cased; null text is empty."""
+    """(doc_id, digest, text_key): SHA-256 of the text with A-Z lower-cased; null text is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [hashlib.sha256(t.as_py().lower()).digest() for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["doc_id", "digest"])
+            out = [hashlib.sha256(t.as_py().lower()).digest() for t in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary()), b.column(1)], ["doc_id", "digest", "text_key"])
 
-    whole = texts(docs, id_col, text_col).select("doc_id", F.col("text").cast("binary").alias("text"))
-    return whole.mapInArrow(run, "doc_id long, digest binary")
+    whole = texts(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("text_key"), F.col("text").cast("binary").alias("text"))
+    return whole.mapInArrow(run, "doc_id long, digest binary, text_key long")
 
 
 def _shrink(counts: Counter, counters: int) -> Counter:
@@ -64,7 +64,7 @@ def frequent_digests(keyed: DataFrame, counters: int = COUNTERS) -> DataFrame:
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = COUNTERS) -> DataFrame:
-    """One row per input row: doc_id, digest, keep_id, group_size, kept.
+    """One row per input row: doc_id, digest, text_key, keep_id, group_size, kept.
 
     The largest id of equal texts stays.  Null text counts as empty; null ids
     sort last, and a group with null ids only has a null ``keep_id`` and keeps

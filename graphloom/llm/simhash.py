@@ -68,7 +68,7 @@ def near_links(groups: DataFrame) -> DataFrame:
 
 
 def near_components(fps: DataFrame) -> DataFrame:
-    """Adds ``component_id`` and ``component_rank_id`` to a materialised (doc_id, fp, ...) table.
+    """Adds ``component_id`` and ``root``, the least fingerprint of the component, to a materialised (doc_id, fp, text_key) table.
 
     ``component_id`` is the least doc_id reachable over links of at most two
     bits; null ids are passed over, a component of null ids has a null id.
@@ -78,17 +78,28 @@ def near_components(fps: DataFrame) -> DataFrame:
     linked = groups.join(roots, "fp").select("fp", "root", "least")
     ids = linked.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("members"))
     ids = materialise(ids)
-    named_roots = hot_split_lookup(roots, ids, "root", "members", ["fp"]).select("fp", "component_id", F.lit(True).alias("linked"))
+    named_roots = hot_split_lookup(roots, ids, "root", "members", ["fp"]).select("fp", "root", "component_id")
     table = materialise(
-        groups.join(named_roots, "fp", "left").select("fp", "n", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("least")).alias("component_id"))
+        groups.join(named_roots, "fp", "left").select(
+            "fp", "n", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNotNull(), F.col("component_id")).otherwise(F.col("least")).alias("component_id")
+        )
     )
     return hot_split_lookup(fps, table, "fp", "n", ["doc_id", "text_key"]).drop("n")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, fp, text_key, component_id.
+    """One row per input row: doc_id, fp, text_key, component_id, root.
 
     Nulls, empty and very long texts, repeated ids and empty tables are fine:
     a row is told apart by position only, a null text is an empty one.
     """
     return near_components(materialise(fingerprints(docs, id_col, text_col)))
+
+
+def one_of_each(found: DataFrame) -> DataFrame:
+    """(doc_id, text_key, kept): of each component one row stays, of its least doc_id, the least text_key on ties."""
+    is_least = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    first = Window.partitionBy("root").orderBy("text_key")
+    least = found.where(is_least).withColumn("kept", F.row_number().over(first) == 1)
+    rest = found.where(~is_least).withColumn("kept", F.lit(False))
+    return least.unionByName(rest).select("doc_id", "text_key", "kept")
