@@ -1,9 +1,11 @@
 """Benchmark decontamination by spaced-seed hashing, in DataFrame operations only.
 
 A mask says which words of a stretch count; a stretch with substitutions under
-the mask's gaps hashes the same.  Every position of every document is hashed
-under each mask and joined with the hashes of the benchmark items; around a hit
-the aligned words are compared, and a stretch with enough equal words counts.
+the mask's gaps hashes the same.  All masks share their first words, so every
+position of every document is hashed over those alone, and only where these
+are some item's too under each mask.  The mask hashes are joined with those of
+the benchmark items; around a hit the aligned words are compared, and a stretch
+with enough equal words counts.
 The index of the benchmark is broadcast in blocks of a fixed number of rows, so
 the documents are never shuffled, however large the benchmark.
 """
@@ -18,7 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, keep_decided, materialise, named, texts
 
-MASKS = ("1101111011", "1011010111", "1110011101")
+#: Every mask begins with the seed.
+SEED, MASKS = "1101", ("1101111011", "1101010111", "1101101101")
 #: Words compared around a hit, share of them that must be equal, least item length, index rows in one broadcast.
 WINDOW, SIMILARITY, SHORTEST, BLOCK_ROWS = 15, 0.8, 5, 100_000
 
@@ -47,7 +50,7 @@ def masks_for(items: DataFrame, masks=MASKS, shortest: int = SHORTEST) -> list[s
 
 
 def benchmark_index(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", window: int = WINDOW) -> tuple[DataFrame, list[str]]:
-    """(hash, lead, stretch, item_id): a stretch of ``window`` words, with the hit ``lead`` words behind its start.
+    """(seed, hash, lead, stretch, item_id): a stretch of ``window`` words, with the hit ``lead`` words behind its start.
 
     Equal stretches of several items are one row, under the least item.
     """
@@ -58,24 +61,33 @@ def benchmark_index(benchmark: DataFrame, item_col: str = "item_id", text_col: s
     hashes = F.array(*[F.when((F.lit(len(m)) == F.size("w")) | F.lit("0" in m), _hash(m, F.col("w"), F.col("i"))) for m in masks])
     hit = at.withColumn("hash", F.explode(hashes)).where("hash is not null")
     start = F.greatest(F.lit(0), F.least(F.col("i") - 2, F.size("w") - window))
-    rows = hit.select("item_id", "hash", (F.col("i") - start).alias("lead"), F.slice("w", start + 1, window).alias("stretch"))
-    return materialise(rows.groupBy("hash", "lead", "stretch").agg(F.min("item_id").alias("item_id"))), masks
+    seed = _hash(SEED, F.col("w"), F.col("i")).alias("seed")
+    rows = hit.select("item_id", seed, "hash", (F.col("i") - start).alias("lead"), F.slice("w", start + 1, window).alias("stretch"))
+    return materialise(rows.groupBy("seed", "hash", "lead", "stretch").agg(F.min("item_id").alias("item_id"))), masks
 
 
 def contaminated(docs: DataFrame, index: DataFrame, masks: list[str], similarity: float = SIMILARITY, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(doc_id, text_key, item_id, overlap) for the rows of ``docs (doc_id, text)`` with a verified hit."""
     w, i = F.col("w"), F.col("i")
     split = docs.select("doc_id", F.xxhash64("text").alias("text_key"), words(F.col("text")).alias("w"))
-    at = split.select("*", F.explode_outer(_positions(w, masks)).alias("i"))
-    hashed = at.select("*", F.explode_outer(F.array(*[_hash(m, w, i) for m in masks])).alias("hash"))
-    # a sum of plain comparisons, no lambda: the join stays in generated code, and ``w`` is never copied per position
-    same = [F.coalesce((F.get(w, i - F.col("lead") + k) == F.get("stretch", F.lit(k))).cast("int"), F.lit(0)) for k in range(WINDOW)]
-    equal = reduce(lambda a, b: a + b, same)
-    blocks = max(1, math.ceil(index.count() / block_rows))
+    seeded = split.select("*", F.explode_outer(_positions(w, masks)).alias("i")).withColumn("seed", _hash(SEED, w, i))
+    # around a seed the words that masks and stretches can reach, and where in them the seed is
+    reach, span = WINDOW, max(map(len, masks))
+    near = F.slice(w, F.greatest(i - reach, F.lit(0)) + 1, 2 * reach + span)
+    at = F.least(i, F.lit(reach))
     found = []
+    blocks = max(1, math.ceil(index.count() / block_rows))
     for b in range(blocks):
         block = index.where(F.pmod(F.col("hash"), F.lit(blocks)) == b) if blocks > 1 else index
-        hits = hashed.join(F.broadcast(block), "hash")
+        seeds = block.select("seed").distinct()
+        # the wide array ends here, in generated code, before anything copies it per position
+        some = seeded.join(F.broadcast(seeds), "seed", "left_semi").select("doc_id", "text_key", near.alias("w"), at.alias("i"))
+        # the lambda keeps the mask hashes out of the generated method above, which else grows too long to be compiled
+        hashes = F.filter(F.array(*[_hash(m, w, i) for m in masks]), lambda h: h.isNotNull())
+        hashed = some.select("*", F.explode_outer(hashes).alias("hash"))
+        hits = hashed.join(F.broadcast(block.drop("seed")), "hash")
+        same = [F.coalesce((F.get(w, i - F.col("lead") + k) == F.get("stretch", F.lit(k))).cast("int"), F.lit(0)) for k in range(WINDOW)]
+        equal = reduce(lambda a, b: a + b, same)
         found.append(hits.select("doc_id", "text_key", "item_id", (equal / F.size("stretch")).alias("overlap")))
     every = found[0]
     for more in found[1:]:
