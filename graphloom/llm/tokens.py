@@ -107,8 +107,8 @@ class PieceLengths(dict):
     def __missing__(self, piece: str) -> int:
         self.misses += 1
         text = piece[1:] if piece[:1] == "\n" else " " + piece
-        if parts := plain_parts(text.lstrip(" ")):
-            head = " " if text[:1] == " " else ""
+        head, body = (" ", text[1:]) if text[:1] == " " else ("", text)
+        if parts := plain_parts(body):
             got = len(self.model.tokenize(_mapped(head + parts[0]))) + (len(self.model.tokenize(_mapped(parts[1]))) if parts[1] else 0)
         else:
             got = len(self.whole.encode(text, add_special_tokens=False).ids)
