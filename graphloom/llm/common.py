@@ -59,6 +59,24 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def largest(df: DataFrame, by: str, most: int, per_octave: int = 16) -> DataFrame:
+    """The rows of largest ``by``, at most ``most`` of them, by a cut from a histogram of powers.
+
+    An ordered limit would send ``most`` rows of every partition to the driver;
+    the histogram has a bounded number of rows however many partitions there
+    are.  Rows of one bucket stay or go together; values up to 0 go.
+    """
+    bucket = F.floor(F.log2(F.col(by).cast("double")) * per_octave)
+    counts = df.where(F.col(by) > 0).groupBy(bucket.alias("b")).count().collect()
+    cut, total = None, 0
+    for r in sorted(counts, key=lambda r: -r["b"]):
+        total += r["count"]
+        if total > most:
+            break
+        cut = r["b"]
+    return df.limit(0) if cut is None else df.where((F.col(by) > 0) & (bucket >= cut))
+
+
 def hot_split_lookup(
     left: DataFrame, right: DataFrame, key: str, n_col: str, spread: list[str], share: float = 1e-3, salts: int = 32
 ) -> DataFrame:
