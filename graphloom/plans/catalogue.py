@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import render, text
-from ..operators import codeindex, compare, coverage, dataflow, graph, metrics, search, sets
+from ..operators import bloom, codeindex, compare, coverage, dataflow, graph, metrics, ordering, search, sequences, sets
 from ..streaming import metrics as streams
 from .fixpoint import ensure_checkpoint_dir, settle
 
@@ -705,3 +705,127 @@ def stream_sessions(s, d):
     return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
 
 
+
+
+@query(
+    """SELECT time_bucket(INTERVAL 30 MINUTE, ts) - to_minutes(30 * k) AS start, event_type, count(*) AS count FROM events, (SELECT unnest([0, 1]) AS k) GROUP BY ALL"""
+)
+def stream_sliding(s, d):
+    e, folder, name = _stream(s, d)
+    out = streams.run_once(streams.sliding(e, ["event_type"], "ts", "1 hour", "30 minutes", "1 hour"), folder, "complete", name)
+    return out.withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query(f"WITH {_SPANS} SELECT owner * 1000000 + span AS span_id, name, finish - start < INTERVAL 6 HOUR AS short FROM p WHERE finish IS NOT NULL AND finish <= start + INTERVAL 12 HOUR")
+def stream_span_join(s, d):
+    """Start and end marks as two streams, joined within a longest duration."""
+    ensure_checkpoint_dir(s)
+    base = s.sparkContext._jsc.sc().getCheckpointDir().get() + f"/spans-{uuid.uuid4().hex}"
+    rows = metrics.spans(T(s, d, "events"), "user_id").where("finish IS NOT NULL").withColumn("span_id", F.col("owner") * 1000000 + F.col("span"))
+    rows.select("span_id", F.col("start").cast("timestamp").alias("start"), "name").write.parquet(f"{base}/starts")
+    rows.select("span_id", F.col("finish").cast("timestamp").alias("finish")).write.parquet(f"{base}/ends")
+    read = lambda x: s.readStream.schema(s.read.parquet(f"{base}/{x}").schema).parquet(f"{base}/{x}")
+    joined = streams.paired_spans(read("starts"), read("ends"), "1 day", "12 hours")
+    out = streams.run_once(joined, f"{base}/checkpoint", "append", f"out_{uuid.uuid4().hex}")
+    return out.select("span_id", "name", (F.col("finish") - F.col("start") < F.expr("INTERVAL 6 HOURS")).alias("short"))
+
+
+# ---- orders, closures and statistics
+
+
+@query("SELECT conv_id, turn AS id, count(*) OVER (PARTITION BY conv_id) - 1 - row_number() OVER (PARTITION BY conv_id ORDER BY turn) + 1 AS ord FROM (SELECT *, count(*) OVER (PARTITION BY conv_id) AS c FROM conversations) WHERE c > 1")
+def order_postorder(s, d):
+    """Turns of a conversation lead to the next: the last comes first."""
+    c = T(s, d, "conversations")
+    from pyspark.sql import Window
+
+    e = c.select("conv_id", F.col("turn").alias("src"), F.lead("turn").over(Window.partitionBy("conv_id").orderBy("turn")).alias("dst")).where("dst IS NOT NULL")
+    return ordering.postorder_of_each(e, "conv_id")
+
+
+@query(
+    f"""WITH RECURSIVE {_GEO}, t AS (SELECT dst AS id, src AS parent FROM g UNION SELECT 'r' || r_regionkey, '*' FROM region),
+      w(id, path, depth) AS (SELECT '*', ['*'], 0 UNION ALL SELECT t.id, list_append(w.path, t.id), depth + 1 FROM w JOIN t ON t.parent = w.id),
+      z AS (SELECT a.above AS id, count(*) AS size FROM (SELECT unnest(path) AS above FROM w) a GROUP BY 1), n AS (SELECT *, row_number() OVER (ORDER BY path) - 1 AS pre FROM w)
+      SELECT id, pre, pre + size - 1 AS post, depth FROM n JOIN z USING (id)"""
+)
+def order_tree_intervals(s, d):
+    top = T(s, d, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("id"), F.lit("*").alias("parent"))
+    tree = geo(s, d).select(F.col("dst").alias("id"), F.col("src").alias("parent")).unionByName(top)
+    return ordering.tree_intervals(tree, s.createDataFrame([("*",)], "id string"))
+
+
+@query(f"WITH RECURSIVE {S}, q(root, id) AS (SELECT id, id FROM v WHERE id IN (0, 3, 5) UNION SELECT q.root, e.dst FROM q JOIN e ON e.src = q.id) SELECT root, id FROM q")
+def g_reachable_from_each(s, d):
+    return ordering.reachable_from_each(refs(s, d, "supplier"), one(s, 0, 3, 5))
+
+
+@query(f"WITH RECURSIVE {C}, {_FWD.format(0)} SELECT (SELECT count(*) FROM v) AS nodes, (SELECT count(*) FROM e) AS edges, (SELECT count(*) FROM f) AS reachable")
+def g_statistics(s, d):
+    return ordering.statistics(refs(s, d, "customer"), one(s, 0))
+
+
+@query(f"WITH RECURSIVE {S}, {_PAIRS}, o AS (SELECT a, b FROM p UNION SELECT id, id FROM v) SELECT o.b AS id, s_nationkey AS key, max(s_suppkey) AS value FROM o JOIN supplier ON s_suppkey = o.a WHERE s_acctbal > 5000 GROUP BY ALL")
+def flow_maps(s, d):
+    e = refs(s, d, "supplier")
+    start = T(s, d, "supplier").where("s_acctbal > 5000").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("key"), F.col("s_suppkey").alias("value"))
+    return ordering.forward_keyed(graph.nodes_of(e), e, start, lambda src, dst, v: v, F.max, F.lit(-1))
+
+
+# ---- quantifiers, filters, upserts
+
+
+@query("SELECT bool_and(c_acctbal > 0) AS every, bool_or(c_acctbal > 9000) AS any, count(*) AS len, count(*) = 0 AS empty FROM customer")
+def seq_quantified(s, d):
+    c = T(s, d, "customer")
+    every, some = sequences.quantified(c, F.col("c_acctbal") > 0), sequences.quantified(c, F.col("c_acctbal") > 9000)
+    return every.select("every", "len", "empty").join(F.broadcast(some.select("any", "len")), "len").select("every", "any", "len", "empty")
+
+
+@query("SELECT c_nationkey, string_agg(c_name, ',' ORDER BY c_custkey) AS names FROM customer GROUP BY 1")
+def seq_grouped(s, d):
+    g = sequences.grouped(T(s, d, "customer").select("c_nationkey", "c_custkey", "c_name"), "c_nationkey", "c_custkey")
+    return g.select("c_nationkey", F.array_join(F.transform("rows", lambda r: r["c_name"]), ",").alias("names"))
+
+
+@query("SELECT count(*) AS held, 0::BIGINT AS missed, true AS mostly_rejects FROM supplier")
+def bloom_contract(s, d):
+    """No key that is held is missed, and few others pass."""
+    keys = T(s, d, "supplier")
+    f = bloom.BloomFilter(keys, "s_suppkey")
+    own = keys.select(f.may_contain(F.col("s_suppkey")).alias("may"), F.lit(True).alias("own"))
+    other = T(s, d, "orders").select(f.may_contain(-1 - F.col("o_orderkey")).alias("may"), F.lit(False).alias("own"))
+    both = own.unionByName(other)
+    return both.agg(F.count_if("own").alias("held"), F.count_if(F.col("own") & ~F.col("may")).alias("missed"), (F.count_if(~F.col("own") & F.col("may")) < 0.15 * F.count_if(~F.col("own"))).alias("mostly_rejects"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 0 ELSE c_acctbal END AS c_acctbal FROM customer UNION ALL SELECT s_suppkey + 10000000, s_acctbal FROM supplier")
+def set_upsert(s, d):
+    c = T(s, d, "customer").select("c_custkey", "c_acctbal")
+    new = T(s, d, "supplier").select((F.col("s_suppkey") + 10000000).alias("c_custkey"), F.col("s_acctbal").alias("c_acctbal"))
+    return sets.upsert(c, c.where("c_acctbal < 0").withColumn("c_acctbal", F.lit(0.0)).unionByName(new), ["c_custkey"])
+
+
+@query("SELECT page_id, regexp_matches(url, '^[a-z]+://[^/]*/(.*/)?(en|de)/[^/]*$') AS hit FROM pages")
+def glob_match(s, d):
+    path = F.regexp_extract("url", r"^[a-z]+://[^/]*/(.*)$", 1)
+    return T(s, d, "pages").select("page_id", text.glob_match(path, "**/{en,de}/*").alias("hit"))
+
+
+@query("SELECT page_id, regexp_extract(url, '^(.*)/[^/]*$', 1) AS before, regexp_extract(url, '[^/]*$') AS after FROM pages")
+def cut_last(s, d):
+    return T(s, d, "pages").select("page_id", text.cut_last(F.col("url"), "/").alias("c")).select("page_id", "c.before", "c.after")
+
+
+@query(
+    """SELECT l_suppkey, start FROM (SELECT l_suppkey, l_partkey AS start, max(l_partkey + l_quantity::BIGINT) OVER (PARTITION BY l_suppkey ORDER BY l_partkey, l_partkey + l_quantity::BIGINT ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM lineitem)
+      WHERE b > start"""
+)
+def interval_conflicts(s, d):
+    li = T(s, d, "lineitem").select("l_suppkey", F.col("l_partkey").alias("start"), (F.col("l_partkey") + F.col("l_quantity").cast("long")).alias("end"))
+    return codeindex.interval_conflicts(li, ["l_suppkey"]).select("l_suppkey", "start")
+
+
+@query("SELECT c_mktsegment, arg_min(c_custkey, (-c_acctbal, c_custkey)) AS c_custkey FROM customer GROUP BY 1")
+def first_by_priority(s, d):
+    return codeindex.first_by_priority(T(s, d, "customer"), "c_mktsegment", F.struct(-F.col("c_acctbal"), F.col("c_custkey"))).select("c_mktsegment", "c_custkey")
