@@ -94,9 +94,9 @@ def carry_labels(events: DataFrame, owner: str, label: str, ts: str = "ts", tie:
 
 def node_percent(rows: DataFrame, kind: str) -> DataFrame:
     """Frequency and percent of the total by kind."""
+    total = rows.count()
     n = rows.groupBy(F.col(kind).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
-    total = n.agg(F.sum("n").alias("total"))
-    return n.join(F.broadcast(total)).select("kind", "n", (100.0 * F.col("n") / F.col("total")).alias("percent"))
+    return n.select("kind", "n", (100.0 * F.col("n") / F.lit(total)).alias("percent"))
 
 
 def line_counts(files: DataFrame, levels: list[str], lines: Column) -> DataFrame:
