@@ -3,7 +3,7 @@
 Lengths are whole numbers up to the sequence length L, so the range-sorted
 order of the documents is at most L runs of equal lengths and that of the gaps
 at most L runs of equal gaps.  The distributed part counts the runs, ranks every
-piece inside its run (hot lengths are split over salts) and, at the end, maps
+piece inside its run (hot lengths are split over tasks) and, at the end, maps
 ranks to places.  A round takes one run of lengths, longest first, and sweeps
 the gap runs for successors: the least gap that fits is taken, pieces and gaps
 that compete are matched by rank, the gaps are updated, and the sweep repeats
@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 from .common import materialise, texts
 from .tokens import WordIds
 
-LENGTH, SALTS = 2048, 8
+#: Tokens of a sequence; rows of one length that one task may rank.
+LENGTH, RUN_ROWS = 2048, 1_000_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -95,16 +96,23 @@ def best_fit_rounds(counts: dict[int, int], limit: int = LENGTH) -> list[tuple[i
     return places
 
 
-def pack(parts: DataFrame, limit: int = LENGTH, salts: int = SALTS) -> DataFrame:
-    """Adds sequence_id and offset to a materialised table of pieces with a ``length`` of 1 to ``limit``."""
-    salted = parts.withColumn("__salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
-    rows = salted.groupBy("length", "__salt").count().collect()  # at most limit * salts rows
-    by = {(r["length"], r["__salt"]): r["count"] for r in rows}
-    base, counts = np.zeros((limit + 1, salts), np.int64), {}
-    for length in {k for k, _ in by}:
-        n = [by.get((length, s), 0) for s in range(salts)]
-        base[length] = np.cumsum([0, *n[:-1]])
-        counts[length] = sum(n)
+def pack(parts: DataFrame, limit: int = LENGTH, run_rows: int = RUN_ROWS) -> DataFrame:
+    """Adds sequence_id and offset to a materialised table of pieces with a ``length`` of 1 to ``limit``.
+
+    A length of more than ``run_rows`` pieces is ranked by as many tasks as it
+    needs, so the counts that reach the driver number at most ``limit`` plus
+    one for every ``run_rows`` pieces.
+    """
+    counts = {r["length"]: r["count"] for r in parts.groupBy("length").count().collect()}
+    hot = [(n, -(-c // run_rows)) for n, c in counts.items() if c > run_rows]
+    most = max((k for _, k in hot), default=1)
+    salts = parts.sparkSession.createDataFrame(hot, "length long, __salts int")
+    salted = parts.join(F.broadcast(salts), "length", "left").withColumn("__salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.coalesce("__salts", F.lit(1))).cast("int")).drop("__salts")
+    base = np.zeros((limit + 1, most), np.int64)
+    if hot:
+        for r in salted.join(F.broadcast(salts), "length", "left_semi").groupBy("length", "__salt").count().collect():
+            base[r["length"], r["__salt"]] = r["count"]
+        base = np.cumsum(base, axis=1) - base
     plan = sorted(best_fit_rounds(counts, limit))
     keys = np.array([(p[0] << 44) + p[1] for p in plan], np.int64)
     shared = parts.sparkSession.sparkContext.broadcast((base, keys, np.array([p[1:] for p in plan], np.int64).reshape(-1, 3)))
