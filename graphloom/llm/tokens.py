@@ -12,8 +12,8 @@ import os
 import re
 from array import array
 
-#: Entries a worker remembers before it starts over.
-CACHE = 1_000_000
+#: Pieces in one generation of a worker's memory; of words half as many.
+CACHE = 400_000
 _TAIL = ".,;:!?"
 _LATIN = re.compile(r"[^\x00-\xff]|[\xaa\xb2\xb3\xb5\xb9\xba\xbc-\xbe]")
 
@@ -36,48 +36,69 @@ def load(path: str):
 
 
 def _mapped(piece: str) -> str:
+    if piece.isascii() and piece.isprintable() and " " not in piece:  # these stand for themselves
+        return piece
     return piece.encode().decode("latin-1").translate(_LETTERS)
 
 
 def plain_parts(piece: str) -> tuple[str, str] | None:
     """(letters, trailing punctuation) if the pre-tokenizers certainly cut the piece so."""
     core = piece.rstrip(_TAIL)
-    if core.isalpha() and not _LATIN.search(core):
+    if core.isalpha() and (core.isascii() or not _LATIN.search(core)):
         return core, piece[len(core) :]
     return None
 
 
-class WordIds(dict):
+class Remembered(dict):
+    """Key -> ``make(key)``, in two generations of at most ``cache`` keys: what is asked for again outlives the next full one."""
+
+    def __init__(self, cache: int = CACHE):
+        super().__init__()
+        self.cache, self.old = cache, {}
+
+    def make(self, key):
+        raise NotImplementedError
+
+    def __missing__(self, key):
+        got = self.old.get(key)
+        if got is None:
+            got = self.make(key)
+        if len(key) <= 100:
+            if len(self) >= self.cache:
+                self.old = dict(self)
+                self.clear()
+            self[key] = got
+        return got
+
+
+class _Words(Remembered):
+    """Word -> its ids as bytes, by the model alone."""
+
+    def __init__(self, model, cache: int):
+        super().__init__(cache)
+        self.tokenize = model.tokenize
+
+    def make(self, word: str) -> bytes:
+        return array("I", [t.id for t in self.tokenize(_mapped(word))]).tobytes()
+
+
+class WordIds(Remembered):
     """UTF-8 piece without ASCII white space -> its ids as little-endian unsigned 32-bit bytes.
 
     For a lower-casing vocabulary with word ends, which drops white space.
     """
 
     def __init__(self, path: str, cache: int = CACHE):
-        super().__init__()
-        self.whole, self.cache, self.words = load(path), cache, {}
-        self.model = self.whole.model
+        super().__init__(cache)
+        self.whole = load(path)
+        self.words = _Words(self.whole.model, cache // 2)
 
-    def _word(self, word: str) -> bytes:
-        got = self.words.get(word)
-        if got is None:
-            if len(self.words) >= self.cache:
-                self.words.clear()
-            got = self.words[word] = array("I", [t.id for t in self.model.tokenize(_mapped(word))]).tobytes()
-        return got
-
-    def __missing__(self, piece: bytes) -> bytes:
+    def make(self, piece: bytes) -> bytes:
         text = piece.decode()
         if parts := plain_parts(text):
             core, tail = parts
-            got = self._word(core.lower()) + (self._word(tail) if tail else b"")
-        else:
-            got = array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
-        if len(self) >= self.cache:
-            self.clear()
-        if len(piece) <= 100:
-            self[piece] = got
-        return got
+            return self.words[core.lower()] + self.words[tail] if tail else self.words[core.lower()]
+        return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
 
     def ids(self, text: bytes) -> bytes:
         return b"".join(map(self.__getitem__, text.split()))
@@ -89,35 +110,32 @@ _CUT = re.compile(r"(?<=[!-~\xa1-\xac\xae-\u024f]) (?=[!-~\xa1-\xac\xae-\u024f])
 _UNSAFE = re.compile(r"[ \n][ \n]|^[ \n]|[ \n]$|[^\n -~\xa1-\xac\xae-\u024f]")
 
 
-class PieceLengths(dict):
+class PieceLengths(Remembered):
     """Piece -> number of tokens, for a byte-level vocabulary that keeps white space.
 
     The first tier, a table of frequent pieces, is always there; what misses is
-    encoded and kept in the second tier, which starts over when full.  A piece
+    encoded and kept in the second tier, which forgets by generations.  A piece
     stands for itself behind one space; with a leading newline it stands for
     what follows that newline, or the start of a text.
     """
 
     def __init__(self, path: str, frequent: dict[str, int] | None = None, cache: int = CACHE):
         self.frequent = frequent or {}
-        super().__init__(self.frequent)
-        self.whole, self.limit, self.misses = load(path), cache + len(self.frequent), 0
-        self.model = self.whole.model
+        super().__init__(cache + len(self.frequent))
+        self.update(self.frequent)
+        self.whole = load(path)
+        self.tokenize = self.whole.model.tokenize
 
-    def __missing__(self, piece: str) -> int:
-        self.misses += 1
+    def clear(self) -> None:
+        super().clear()
+        self.update(self.frequent)
+
+    def make(self, piece: str) -> int:
         text = piece[1:] if piece[:1] == "\n" else " " + piece
         head, body = (" ", text[1:]) if text[:1] == " " else ("", text)
         if parts := plain_parts(body):
-            got = len(self.model.tokenize(_mapped(head + parts[0]))) + (len(self.model.tokenize(_mapped(parts[1]))) if parts[1] else 0)
-        else:
-            got = len(self.whole.encode(text, add_special_tokens=False).ids)
-        if len(self) >= self.limit:
-            self.clear()
-            self.update(self.frequent)
-        if len(piece) <= 100:
-            self[piece] = got
-        return got
+            return len(self.tokenize(_mapped(head + parts[0]))) + (len(self.tokenize(_mapped(parts[1]))) if parts[1] else 0)
+        return len(self.whole.encode(text, add_special_tokens=False).ids)
 
     def pieces(self, text: str) -> tuple[list[str], int]:
         """The pieces of a text, and how many newlines between them count one token each."""
