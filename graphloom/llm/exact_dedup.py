@@ -1,10 +1,10 @@
 """Exact deduplication that takes heavy-hitting texts out of the shuffle.
 
-A Misra-Gries pass over the digests finds every text that could hold more than
-``1 / counters`` of all rows.  Their exact winners are computed with map-side
+A Misra-Gries pass over the digests finds every text that holds more than about
+``2 / counters`` of all rows.  Their exact winners are computed with map-side
 combining and broadcast (at most ``counters`` rows), so copies of a hot text
 are removed where they are read.  All other digests go through one ordinary
-shuffle, in which no group can hold more than ``1 / counters`` of the rows.
+shuffle, in which no group can hold more than that.
 """
 
 from __future__ import annotations
@@ -17,9 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, texts
+from .common import largest, materialise, texts
 
-COUNTERS = 256
+COUNTERS = 1024
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -43,10 +43,11 @@ def _shrink(counts: Counter, counters: int) -> Counter:
 
 
 def frequent_digests(keyed: DataFrame, counters: int = COUNTERS) -> DataFrame:
-    """A superset of the digests on more than ``1 / (counters + 1)`` of the rows, at most ``counters``.
+    """The digests on more than about ``2 / counters`` of the rows, and some others, at most ``counters``.
 
-    Every task keeps ``counters`` Misra-Gries counters; summaries merge by
-    adding and subtracting once more, which keeps the error bound.
+    Every task keeps ``counters`` Misra-Gries counters, each at most
+    ``rows / counters`` too low; summaries are added up, and the largest sums
+    stay.  What they miss is only slower, never wrong.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -56,11 +57,8 @@ def frequent_digests(keyed: DataFrame, counters: int = COUNTERS) -> DataFrame:
             held = _shrink(held, counters)
         yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], ["digest", "n"])
 
-    merged = keyed.select("digest").mapInArrow(run, "digest binary, n long").groupBy("digest").agg(F.sum("n").alias("n"))
-    top = merged.orderBy(F.desc("n"), "digest").limit(counters + 1).collect()
-    cut = top[counters]["n"] if len(top) > counters else 0
-    rows = [(bytes(r["digest"]),) for r in top if r["n"] > cut and r["n"] > 1]
-    return keyed.sparkSession.createDataFrame(rows, "digest binary")
+    merged = materialise(keyed.select("digest").mapInArrow(run, "digest binary, n long").groupBy("digest").agg(F.sum("n").alias("n")).where("n > 1"))
+    return materialise(largest(merged, "n", counters).select("digest"))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = COUNTERS) -> DataFrame:
