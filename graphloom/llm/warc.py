@@ -149,6 +149,12 @@ def _next(window: _Window, at: int) -> int | None:
     return end + len(END) if end + len(END) <= window.size and window.get(end, end + len(END)) == END else None
 
 
+def spread(splits: DataFrame, at: str, most: int = 100_000) -> DataFrame:
+    """A task for each split: their rows are tiny, so adaptive execution would put many splits into one task."""
+    splits = materialise(splits)
+    return splits.repartition(max(1, min(splits.count(), most)), "path", at)
+
+
 def split_exits(manifest: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """(path, at, exit) for every candidate record of every split: where its chain leaves the split."""
 
@@ -172,7 +178,7 @@ def split_exits(manifest: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFram
                 yield pa.RecordBatch.from_arrays([pa.array([path] * n, pa.string()), pa.array(list(exits), pa.int64()), pa.array(list(exits.values()), pa.int64())], ["path", "at", "exit"])
 
     splits = manifest.select("path", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("size") - 1, F.lit(0)), F.lit(split_bytes).cast("long"))).alias("start"))
-    return splits.repartition("path", "start").mapInArrow(run, "path string, at long, exit long")
+    return spread(splits, "start").mapInArrow(run, "path string, at long, exit long")
 
 
 def reachable_entries(manifest: DataFrame, exits: DataFrame) -> DataFrame:
@@ -227,7 +233,7 @@ def read_archives(manifest: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFr
 
     files = manifest.select("path", "size")
     entries = reachable_entries(manifest, split_exits(manifest, split_bytes)).join(files, "path").where("at < size")
-    return entries.select("path", "size", "at").repartition("path", "at").mapInArrow(run, RECORDS)
+    return spread(entries.select("path", "size", "at"), "at").mapInArrow(run, RECORDS)
 
 
 def warc_round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
