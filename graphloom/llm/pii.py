@@ -28,7 +28,7 @@ PATTERNS = (
     r"\+[0-9][ ().0-9-]+[0-9]",
 )
 _BYTE = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
-#: Characters of context on either side; distinct texts that must hold term and entity; share of the
+#: Characters of context on either side; distinct contexts that must hold term and entity; share of the
 #: entity's information at which a term is generalised, and removed.
 CONTEXT, SUPPORT, GENERALISE, REMOVE = 80, 2, 0.8, 0.95
 _WORD = r"\p{L}{3,}+"
@@ -88,16 +88,17 @@ def base_spans(found: DataFrame) -> DataFrame:
 
 
 def context_terms(spans: DataFrame) -> DataFrame:
-    """(key, copies, entity, term, start, stop): whole words within the context of a base span."""
+    """(key, copies, entity, context, term, start, stop): whole words within the context of a base span."""
 
     def side(text: str, base: Column, cut: Column) -> DataFrame:
         # a word that touches the cut end of the context may be part of a longer one
-        inner = spans.select("key", "copies", "entity", base.alias("base"), cut.alias("inner"))
+        context = F.xxhash64("before", "after").alias("context")
+        inner = spans.select("key", "copies", "entity", context, base.alias("base"), cut.alias("inner"))
         split = inner.select("*", F.regexp_extract_all("inner", F.lit(_WORD), F.lit(0)).alias("m"), F.split("inner", _WORD, -1).alias("p")).where("size(m) > 0")
-        each = split.select("key", "copies", "entity", "base", "m", "p", F.posexplode("m").alias("i", "word"))
+        each = split.select("key", "copies", "entity", "context", "base", "m", "p", F.posexplode("m").alias("i", "word"))
         upto = lambda a, n: F.aggregate(F.slice(a, 1, n), F.lit(0), lambda s, x: s + F.length(x))
         at = F.col("base") + upto(F.col("p"), F.col("i") + 1) + upto(F.col("m"), F.col("i"))
-        return each.select("key", "copies", "entity", F.lower("word").alias("term"), at.cast("long").alias("start"), (at + F.length("word")).cast("long").alias("stop"))
+        return each.select("key", "copies", "entity", "context", F.lower("word").alias("term"), at.cast("long").alias("start"), (at + F.length("word")).cast("long").alias("stop"))
 
     head = F.length(F.regexp_extract("before", r"^[\p{L}\p{N}._%+-]*", 0))
     skip = F.when(F.length("before") < F.lit(CONTEXT), F.lit(0)).otherwise(head)
@@ -115,12 +116,13 @@ def term_frequencies(whole: DataFrame, terms: DataFrame) -> DataFrame:
 def disclosing(whole: DataFrame, spans: DataFrame, near: DataFrame, support: int = SUPPORT, threshold: float = GENERALISE) -> DataFrame:
     """(entity, term, disclosure) at or over the threshold.
 
-    Probabilities are shares of rows; the support counts distinct texts, so
-    copies of one text prove nothing.
+    Probabilities are shares of rows; the support counts distinct contexts, so
+    copies and near copies of one text prove nothing.
     """
     entities = spans.select("entity", "key", "copies").distinct().groupBy("entity").agg(F.sum("copies").alias("df_e"))
-    pairs = near.select("entity", "term", "key", "copies").distinct().groupBy("entity", "term").agg(F.sum("copies").alias("both"), F.count(F.lit(1)).alias("texts"))
-    pairs = materialise(pairs.where(F.col("texts") >= support))
+    once = near.groupBy("entity", "term", "key").agg(F.max("copies").alias("copies"), F.min("context").alias("context"))
+    pairs = once.groupBy("entity", "term").agg(F.sum("copies").alias("both"), F.count_distinct("context").alias("contexts"))
+    pairs = materialise(pairs.where(F.col("contexts") >= support))
     if pairs.isEmpty():
         return pairs.select("entity", "term", F.lit(0.0).alias("disclosure"))
     counts = materialise(term_frequencies(whole, materialise(pairs.select("term").distinct())))
