@@ -16,10 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
-from .tokens import PieceLengths
+from .common import largest, materialise, texts
+from .tokens import PieceLengths, in_worker
 
-SUMMARY, FREQUENT, LIMIT = 2048, 16384, 512
+SUMMARY, FREQUENT, LIMIT, CACHE = 2048, 16384, 512, 500_000
 
 
 def frequent_pieces(whole: DataFrame, path: str, summary: int = SUMMARY, frequent: int = FREQUENT) -> dict[str, int]:
@@ -44,8 +44,8 @@ def frequent_pieces(whole: DataFrame, path: str, summary: int = SUMMARY, frequen
         )
 
     lists = whole.select("text").mapInArrow(run, "piece string, n long, length int")
-    top = lists.groupBy("piece").agg(F.sum("n").alias("n"), F.max("length").alias("length")).orderBy(F.desc("n"), "piece").limit(frequent)
-    return {r["piece"]: r["length"] for r in top.collect()}
+    merged = materialise(lists.groupBy("piece").agg(F.sum("n").alias("n"), F.max("length").alias("length")))
+    return {r["piece"]: r["length"] for r in largest(merged, "n", frequent).collect()}
 
 
 def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT) -> DataFrame:
@@ -62,7 +62,7 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
         blob, lens = compact.value
         keys = blob.decode().split("\x00") if blob else []
         tier = dict(zip(keys, np.frombuffer(lens, np.uint16).tolist())) if len(keys) * 2 == len(lens) else {}
-        lengths = PieceLengths(path, tier)
+        lengths = in_worker("lengths", path, lambda: PieceLengths(path, cache=CACHE)).adopt(tier)
         for b in batches:
             n_bytes, n_tokens = [], []
             for t in b.column(1):

@@ -10,10 +10,11 @@ from __future__ import annotations
 
 import os
 import re
+import sys
 from array import array
 
 #: Pieces in one generation of a worker's memory; of words half as many.
-CACHE = 400_000
+CACHE = 250_000
 _TAIL = ".,;:!?"
 _LATIN = re.compile(r"[^\x00-\xff]|[\xaa\xb2\xb3\xb5\xb9\xba\xbc-\xbe]")
 
@@ -71,6 +72,14 @@ class Remembered(dict):
         return got
 
 
+def in_worker(kind: str, path: str, make):
+    """One object for all tasks of a Python worker: its memory outlives a task, and is bounded as ever."""
+    held = sys.__dict__.setdefault("_graphloom_in_worker", {})
+    if (kind, path) not in held:
+        held[kind, path] = make()
+    return held[kind, path]
+
+
 class _Words(Remembered):
     """Word -> its ids as bytes, by the model alone."""
 
@@ -130,6 +139,12 @@ class PieceLengths(Remembered):
         super().clear()
         self.update(self.frequent)
 
+    def adopt(self, frequent: dict[str, int]) -> "PieceLengths":
+        """Take another table of frequent pieces as the first tier."""
+        self.frequent = frequent
+        self.update(frequent)
+        return self
+
     def make(self, piece: str) -> int:
         text = piece[1:] if piece[:1] == "\n" else " " + piece
         head, body = (" ", text[1:]) if text[:1] == " " else ("", text)
