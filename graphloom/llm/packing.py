@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, texts
-from .tokens import WordIds
+from .tokens import WordIds, in_worker
 
 #: Tokens of a sequence; rows of one length that one task may rank.
 LENGTH, RUN_ROWS = 2048, 1_000_000
@@ -36,7 +36,7 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     tail = int(end).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(path)
+        words = in_worker("ids", path, lambda: WordIds(path))
         for b in batches:
             cols: list[list] = [[], [], [], [], []]
             for i, t in zip(b.column(0).to_pylist(), b.column(1)):
