@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Most rows of decision keys that may be broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 300_000
+#: Rows of texts in one batch for Python; a batch is held in the JVM and in the worker.
+BATCH_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,7 +42,11 @@ def named(col: str) -> Column:
 
 
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id`` as long and ``text`` with null as empty, whatever else the table holds."""
+    """``doc_id`` as long and ``text`` with null as empty, whatever else the table holds.
+
+    Batches that go to Python are kept to ``BATCH_ROWS`` rows, as texts are wide.
+    """
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return docs.select(
         named(id_col).cast("long").alias("doc_id"),
         F.coalesce(named(text_col).cast("string"), F.lit("")).alias("text"),
