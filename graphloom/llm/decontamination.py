@@ -1,11 +1,11 @@
 """Benchmark decontamination by spaced-seed hashing, in DataFrame operations only.
 
-A mask says which words of a stretch count; a stretch with substitutions under
-the mask's gaps hashes the same.  All masks share their first words, so every
-position of every document is hashed over those alone, and only where these
-are some item's too under each mask.  The mask hashes are joined with those of
-the benchmark items; around a hit the aligned words are compared, and a stretch
-with enough equal words counts.
+A mask says which words count; words with substitutions under the mask's gaps
+hash the same.  The masks are so short that no stretch with enough equal words
+is without a place where one of them lies on equal words only.  Every position
+of every document is hashed under each mask and only where the hash is some
+item's too is it joined with the items; there the words around are compared,
+over all stretches that contain the hit.
 The index of the benchmark is broadcast in blocks of a fixed number of rows, so
 the documents are never shuffled, however large the benchmark.
 """
@@ -13,15 +13,14 @@ the documents are never shuffled, however large the benchmark.
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, keep_decided, materialise, named, texts
 
-#: Every mask begins with the seed.
-SEED, MASKS = "1101", ("1101111011", "1101010111", "1101101101")
+#: Four words each, so that one expression hashes under any of them.
+MASKS = ("1111", "11011")
 #: Words compared around a hit, share of them that must be equal, least item length, index rows in one broadcast.
 WINDOW, SIMILARITY, SHORTEST, BLOCK_ROWS = 15, 0.8, 5, 100_000
 
@@ -31,64 +30,74 @@ def words(text: Column) -> Column:
     return F.split(F.lower(text), r"[^\p{L}\p{N}]+")
 
 
-def _hash(mask: str, w: Column, i: Column) -> Column:
-    """Hash of the words under a mask at position ``i``; null where the stretch doesn't fit."""
-    care = [F.get(w, i + k) for k, c in enumerate(mask) if c == "1"]
-    return F.when(i + len(mask) <= F.size(w), F.xxhash64(F.lit(mask), *care))
+def _hash(masks: list[str], w: Column, i: Column, mask: Column) -> Column:
+    """Hash of the words under the ``mask``-th mask at position ``i``; null where it doesn't fit."""
 
+    def of_mask(values: list[int]) -> Column:
+        each = F.lit(values[0])
+        for m, v in enumerate(values[1:], 1):
+            each = F.when(mask == m, v).otherwise(each)
+        return each if len(set(values)) > 1 else F.lit(values[0])
 
-def _positions(w: Column, masks: list[str]) -> Column:
-    last = F.size(w) - min(map(len, masks))
-    return F.when(last >= 0, F.sequence(F.lit(0), last))
+    care = list(zip(*[[k for k, c in enumerate(m) if c == "1"] for m in masks]))
+    return F.when(i + of_mask([len(m) for m in masks]) <= F.size(w), F.xxhash64(mask, *[F.get(w, i + of_mask(list(k))) for k in care]))
 
 
-def masks_for(items: DataFrame, masks=MASKS, shortest: int = SHORTEST) -> list[str]:
-    """The spaced masks, and for items too short for them one solid mask per length that occurs."""
-    span = max(map(len, masks))
-    short = items.select(F.size("w").alias("n")).where((F.col("n") >= shortest) & (F.col("n") < span)).distinct().collect()
-    return [*masks, *("1" * r["n"] for r in sorted(short))]  # fewer than the longest mask has places
+def _places(masks: list[str], w: Column) -> Column:
+    """Numbers that stand for each position with each mask."""
+    last = F.size(w) - min(map(len, masks))
+    return F.when(last >= 0, F.sequence(F.lit(0), (last + 1) * len(masks) - 1))
 
 
 def benchmark_index(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", window: int = WINDOW) -> tuple[DataFrame, list[str]]:
-    """(seed, hash, lead, stretch, item_id): a stretch of ``window`` words, with the hit ``lead`` words behind its start.
+    """(hash, lead, around, item_id): the words of all stretches of ``window`` words that hold the hit, ``lead`` words behind their start.
 
-    Equal stretches of several items are one row, under the least item.
+    Of an item that is shorter the words are the whole item.  Equal words of
+    several items are one row, under the least item.
     """
     items = benchmark.select(named(item_col).cast("long").alias("item_id"), words(F.coalesce(named(text_col).cast("string"), F.lit(""))).alias("w"))
     items = materialise(items.select("item_id", F.filter("w", lambda x: x != "").alias("w")).where(F.size("w") >= SHORTEST))
-    masks = masks_for(items)
-    at = items.withColumn("i", F.explode(_positions(F.col("w"), masks)))
-    hashes = F.array(*[F.when((F.lit(len(m)) == F.size("w")) | F.lit("0" in m), _hash(m, F.col("w"), F.col("i"))) for m in masks])
-    hit = at.withColumn("hash", F.explode(hashes)).where("hash is not null")
-    start = F.greatest(F.lit(0), F.least(F.col("i") - 2, F.size("w") - window))
-    seed = _hash(SEED, F.col("w"), F.col("i")).alias("seed")
-    rows = hit.select("item_id", seed, "hash", (F.col("i") - start).alias("lead"), F.slice("w", start + 1, window).alias("stretch"))
-    return materialise(rows.groupBy("seed", "hash", "lead", "stretch").agg(F.min("item_id").alias("item_id"))), masks
+    masks = list(MASKS)
+    w, n, place = F.col("w"), F.size("w"), F.col("place")
+    i, mask = F.floor(place / len(masks)).cast("int"), (place % len(masks)).cast("int")
+    at = items.select("*", F.explode(_places(masks, w)).alias("place")).select("item_id", "w", i.alias("i"), mask.alias("mask"))
+    hit = at.withColumn("hash", _hash(masks, w, F.col("i"), F.col("mask"))).where("hash is not null")
+    span, size = F.element_at(F.array(*[F.lit(len(m)) for m in masks]), F.col("mask") + 1), F.least(n, F.lit(window))
+    start = F.greatest(F.lit(0), F.col("i") + span - size)
+    rows = hit.select("item_id", "hash", (F.col("i") - start).alias("lead"), F.slice("w", start + 1, F.least(n, F.col("i") + size) - start).alias("around"))
+    return materialise(rows.groupBy("hash", "lead", "around").agg(F.min("item_id").alias("item_id"))), masks
+
+
+def _overlap(w: Column, first: Column, around: Column, window: int = WINDOW) -> Column:
+    """Largest share of equal words over the stretches of ``around``, whose start lies at ``first`` in ``w``."""
+    size = F.least(F.size(around), F.lit(window))
+    bit = lambda k: F.when(F.get(w, first + k) == F.get(around, k), F.call_function("shiftleft", F.lit(1).cast("long"), k)).otherwise(F.lit(0).cast("long"))
+    equal = F.aggregate(F.sequence(F.lit(0), F.size(around) - 1), F.lit(0).cast("long"), lambda bits, k: bits + bit(k))
+    ones = F.call_function("shiftleft", F.lit(1).cast("long"), size) - 1
+    # the bits are handed in as an array of one, so that they are worked out once and not per stretch
+    each = F.transform(F.array(equal), lambda bits: F.array_max(F.transform(F.sequence(F.lit(0), F.size(around) - size), lambda s: F.bit_count(F.call_function("shiftright", bits, s).bitwiseAND(ones)))))
+    return F.get(each, F.lit(0)) / size
 
 
 def contaminated(docs: DataFrame, index: DataFrame, masks: list[str], similarity: float = SIMILARITY, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(doc_id, text_key, item_id, overlap) for the rows of ``docs (doc_id, text)`` with a verified hit."""
-    w, i = F.col("w"), F.col("i")
+    w, i, place = F.col("w"), F.col("i"), F.col("place")
     split = docs.select("doc_id", F.xxhash64("text").alias("text_key"), words(F.col("text")).alias("w"))
-    seeded = split.select("*", F.explode_outer(_positions(w, masks)).alias("i")).withColumn("seed", _hash(SEED, w, i))
-    # around a seed the words that masks and stretches can reach, and where in them the seed is
-    reach, span = WINDOW, max(map(len, masks))
-    near = F.slice(w, F.greatest(i - reach, F.lit(0)) + 1, 2 * reach + span)
-    at = F.least(i, F.lit(reach))
+    placed = split.select("*", F.explode_outer(_places(masks, w)).alias("place"))
+    numbered = placed.select("*", F.floor(place / len(masks)).cast("int").alias("i"), (place % len(masks)).cast("int").alias("mask"))
+    hashed = numbered.select("doc_id", "text_key", "w", "i", _hash(masks, w, i, F.col("mask")).alias("hash"))
+    # the words that a stretch around the hit can reach, and where in them the hit is
+    near = F.slice(w, F.greatest(i - WINDOW, F.lit(0)) + 1, 2 * WINDOW)
+    at = F.least(i, F.lit(WINDOW))
     found = []
     blocks = max(1, math.ceil(index.count() / block_rows))
     for b in range(blocks):
         block = index.where(F.pmod(F.col("hash"), F.lit(blocks)) == b) if blocks > 1 else index
-        seeds = block.select("seed").distinct()
+        seeds = block.select("hash").distinct()
         # the wide array ends here, in generated code, before anything copies it per position
-        some = seeded.join(F.broadcast(seeds), "seed", "left_semi").select("doc_id", "text_key", near.alias("w"), at.alias("i"))
-        # the lambda keeps the mask hashes out of the generated method above, which else grows too long to be compiled
-        hashes = F.filter(F.array(*[_hash(m, w, i) for m in masks]), lambda h: h.isNotNull())
-        hashed = some.select("*", F.explode_outer(hashes).alias("hash"))
-        hits = hashed.join(F.broadcast(block.drop("seed")), "hash")
-        same = [F.coalesce((F.get(w, i - F.col("lead") + k) == F.get("stretch", F.lit(k))).cast("int"), F.lit(0)) for k in range(WINDOW)]
-        equal = reduce(lambda a, b: a + b, same)
-        found.append(hits.select("doc_id", "text_key", "item_id", (equal / F.size("stretch")).alias("overlap")))
+        some = hashed.join(F.broadcast(seeds), "hash", "left_semi").select("doc_id", "text_key", "hash", near.alias("w"), at.alias("i"))
+        hits = some.join(F.broadcast(block), "hash")
+        found.append(hits.select("doc_id", "text_key", "item_id", _overlap(w, i - F.col("lead"), F.col("around")).alias("overlap")))
     every = found[0]
     for more in found[1:]:
         every = every.unionByName(more)
