@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, keep_decided, materialise, named, texts
 
-#: Four words each, so that one expression hashes under any of them.
-MASKS = ("1111", "11011")
+#: Four words each, so that one expression hashes under any of them; five words of which one is changed need the short ones too.
+MASKS, SHORT_MASKS = ("1111", "11011"), ("11101", "10111")
 #: Words compared around a hit, share of them that must be equal, least item length, index rows in one broadcast.
 WINDOW, SIMILARITY, SHORTEST, BLOCK_ROWS = 15, 0.8, 5, 100_000
 
@@ -30,6 +30,11 @@ def words(text: Column) -> Column:
     return F.split(F.lower(text), r"[^\p{L}\p{N}]+")
 
 
+def masks_for(items: DataFrame) -> list[str]:
+    """The masks that find every item with as many words changed as may be."""
+    return [*MASKS, *SHORT_MASKS] if items.where(F.size("w") <= max(map(len, SHORT_MASKS))).limit(1).count() else list(MASKS)
+
+
 def _hash(masks: list[str], w: Column, i: Column, mask: Column) -> Column:
     """Hash of the words under the ``mask``-th mask at position ``i``; null where it doesn't fit."""
 
@@ -57,11 +62,12 @@ def benchmark_index(benchmark: DataFrame, item_col: str = "item_id", text_col: s
     """
     items = benchmark.select(named(item_col).cast("long").alias("item_id"), words(F.coalesce(named(text_col).cast("string"), F.lit(""))).alias("w"))
     items = materialise(items.select("item_id", F.filter("w", lambda x: x != "").alias("w")).where(F.size("w") >= SHORTEST))
-    masks = list(MASKS)
+    masks = masks_for(items)
     w, n, place = F.col("w"), F.size("w"), F.col("place")
     i, mask = F.floor(place / len(masks)).cast("int"), (place % len(masks)).cast("int")
     at = items.select("*", F.explode(_places(masks, w)).alias("place")).select("item_id", "w", i.alias("i"), mask.alias("mask"))
-    hit = at.withColumn("hash", _hash(masks, w, F.col("i"), F.col("mask"))).where("hash is not null")
+    needed = (F.col("mask") < len(MASKS)) | (n <= max(map(len, SHORT_MASKS)))
+    hit = at.where(needed).withColumn("hash", _hash(masks, w, F.col("i"), F.col("mask"))).where("hash is not null")
     span, size = F.element_at(F.array(*[F.lit(len(m)) for m in masks]), F.col("mask") + 1), F.least(n, F.lit(window))
     start = F.greatest(F.lit(0), F.col("i") + span - size)
     rows = hit.select("item_id", "hash", (F.col("i") - start).alias("lead"), F.slice("w", start + 1, F.least(n, F.col("i") + size) - start).alias("around"))

@@ -40,3 +40,25 @@ def test_long_stretches_with_substitutions(spark):
     rows, items = [(1, stretch), (2, over), (3, " ".join(long[25:])), (4, "")], [(1, " ".join(long))]
     got = results(spark, rows, items)
     assert [(d, got[d][0]) for d, _ in rows] == plain_contaminated(rows, items) == [(1, True), (2, False), (3, True), (4, False)]
+
+
+def test_masks_cover_short_items():
+    assert missed(5, 1, decontamination.MASKS) == [(1,), (3,)]
+    for n in range(5, 15):
+        masks = decontamination.MASKS + (decontamination.SHORT_MASKS if n == 5 else ())
+        for changed in range(n // 5 + 1):
+            assert not missed(n, changed, masks)
+
+
+def test_short_items_with_substitutions(spark):
+    items, rows = [], []
+    for n in range(5, 15):
+        for changed in range(n // 5 + 2):  # one more than may be
+            item, texts = substituted(n, changed)
+            rows += [(len(rows) + k, t) for k, t in enumerate(texts)]
+        items.append((n, item))
+    got = results(spark, rows, items)
+    want = plain_contaminated(rows, items)
+    assert [(d, got[d][0]) for d, _ in rows] == want and len({hit for _, hit in want}) == 2
+    # without items of five words the short masks are not needed
+    assert results(spark, rows, items[1:]) == {d: x if not rows[d][1].count("w5x") else (False, 0.0) for d, x in got.items()}
