@@ -227,9 +227,13 @@ def parse_time(s: Column) -> Column:
 
 
 def needs_header(path: Column, text: Column, header: str) -> Column:
-    """Whether a file lacks the required header: generated files and other kinds are passed over."""
+    """Whether a file lacks the required header: generated files and other kinds are passed over.
+
+    Header and mark of generation count in any comment before the first code, however long the comments are.
+    """
     source = path.rlike(r"\.(go|py|s)$") & ~path.rlike(r"(^|/)(testdata|vendor)/")
-    head = F.left(text, F.lit(1000))
+    # each match begins where the last one ended, so none is behind code
+    head = F.array_join(F.regexp_extract_all(text, F.lit(r"\G\s*+(?://[^\n]*+|#[^\n]*+|/\*(?s:.*?)\*/)"), F.lit(0)), "")
     return source & ~head.rlike(r"(?m)^(//|#) Code generated .* DO NOT EDIT\.$") & ~F.contains(head, F.lit(header))
 
 
