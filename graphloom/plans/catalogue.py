@@ -260,7 +260,7 @@ def flow_rapid_types(s, d):
     creates = sup.select(F.col("s_suppkey").alias("func"), F.col("s_nationkey").alias("type"))
     invokes = sup.select(F.col("s_suppkey").alias("func"), (F.col("s_suppkey") % 7).alias("name"))
     methods = cus.select(F.col("c_nationkey").alias("type"), (F.col("c_custkey") % 7).alias("name"), (F.col("c_custkey") % n).alias("func"))
-    funcs, types = dataflow.rapid_types(one(s, 0), refs(s, d, "supplier").where("src % 3 = 0"), creates, invokes, methods)
+    funcs, types = dataflow.rapid_types(one(s, 0), refs(s, d, "supplier"), creates, invokes, methods)
     return funcs.select(F.lit("func").alias("kind"), F.col("func").alias("id")).unionByName(types.select(F.lit("type").alias("kind"), F.col("type").cast("long").alias("id")))
 
 
