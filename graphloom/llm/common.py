@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,6 +86,38 @@ def largest(df: DataFrame, by: str, most: int, per_octave: int = 16) -> DataFram
     return df.limit(0) if cut is None else df.where((F.col(by) > 0) & (bucket >= cut))
 
 
+def summed_arrays(parts: DataFrame, at_once: int = 64) -> np.ndarray | None:
+    """Element-wise sum of ``sums`` (64-bit floats as bytes, all of one length) over ``(part, sums)``; None of no rows.
+
+    Parts are unique.  They are added up in order of ``part`` in levels of
+    ``at_once`` arrays a task, so no task and not the driver meets more than
+    that many, and the sum doesn't depend on how the rows are partitioned.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, total = None, np.zeros(0)
+        for b in batches:
+            for p, x in zip(b.column(0).to_pylist(), b.column(1)):
+                more = np.frombuffer(x.as_buffer(), float)
+                if p != part and part is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["part", "sums"])
+                total = more if p != part else total + more
+                part = p
+        if part is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["part", "sums"])
+
+    held = materialise(parts)
+    most = held.agg(F.max("part")).first()[0]
+    while most is not None:
+        groups = most // at_once + 1
+        order = held.select(F.floor(F.col("part") / at_once).alias("__group"), "part", "sums").repartition(groups, "__group").sortWithinPartitions("__group", "part")
+        held = order.select(F.col("__group").alias("part"), "sums").mapInArrow(run, "part long, sums binary")
+        if groups == 1:
+            return np.frombuffer(held.first()["sums"], float)
+        held, most = materialise(held), groups - 1
+    return None
+
+
 def hot_split_lookup(
     left: DataFrame, right: DataFrame, key: str, n_col: str, spread: list[str], share: float = 1e-3, salts: int = 32
 ) -> DataFrame:

@@ -418,7 +418,7 @@ def test_pii_terms_that_disclose(spark):
 # ---- language model
 
 
-def test_lm_scores(spark, rough, empty):
+def test_lm_scores(spark, rough, empty):  # more in test_lm.py
     rng = random.Random(9)
     model = {w: rng.sample([f"w{i}" for i in range(30)], 3) for w in (f"w{i}" for i in range(30))}
     rows = []
@@ -436,33 +436,6 @@ def test_lm_scores(spark, rough, empty):
     assert lm_scoring.lm_scores(empty).count() == 0
 
 
-def test_lm_word_probabilities_sum_to_one(spark):
-    counts = spark.createDataFrame([(f"word{i}", 1 + 1000 // (i + 1)) for i in range(300)], "word string, n long")
-    v = lm_scoring.build_vocabulary(counts, 100)
-    import numpy as np
-
-    mass = np.zeros(lm_scoring.CLASSES)
-    codes = lm_scoring.Codes(v)
-    for i in range(300):
-        mass[v.classes[codes[f"word{i}"]]] += np.exp(v.within[codes[f"word{i}"]])
-    assert 50 < len(v.words) <= 100
-    assert (mass < 1 + 1e-9).all() and mass[mass > 0].min() > 0.5
-
-
-def test_lm_gradient():
-    import numpy as np
-
-    rng = np.random.default_rng(0)
-    w = lm_scoring.initial(np.full(lm_scoring.CLASSES, 1 / lm_scoring.CLASSES))
-    c, at = rng.integers(0, lm_scoring.CLASSES, 60).astype(np.int16), np.arange(2, 58)
-    loss = lambda p: -np.mean(lm_scoring.log_probability(p, c, at))
-    p = lm_scoring.unpack(w)
-    before = loss(p)
-    for _ in range(50):
-        lm_scoring.train_step(p, c, at, 0.5)
-    assert loss(p) < before - 0.1
-
-
 # ---- empty tables
 
 
