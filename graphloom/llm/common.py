@@ -86,7 +86,7 @@ def largest(df: DataFrame, by: str, most: int, per_octave: int = 16) -> DataFram
     return df.limit(0) if cut is None else df.where((F.col(by) > 0) & (bucket >= cut))
 
 
-def summed_arrays(parts: DataFrame, at_once: int = 64) -> np.ndarray | None:
+def summed_arrays(parts: DataFrame, at_once: int = 16) -> np.ndarray | None:
     """Element-wise sum of ``sums`` (64-bit floats as bytes, all of one length) over ``(part, sums)``; None of no rows.
 
     Parts are unique.  They are added up in order of ``part`` in levels of

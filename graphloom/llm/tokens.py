@@ -73,11 +73,11 @@ class Remembered(dict):
 
 
 def in_worker(kind: str, path: str, make):
-    """One object for all tasks of a Python worker: its memory outlives a task, and is bounded as ever."""
+    """One object of a kind for all tasks of a Python worker: its memory outlives a task, and is bounded as ever."""
     held = sys.__dict__.setdefault("_graphloom_in_worker", {})
-    if (kind, path) not in held:
-        held[kind, path] = make()
-    return held[kind, path]
+    if held.get(kind, ("",))[0] != path:
+        held[kind] = (path, make())
+    return held[kind][1]
 
 
 class _Words(Remembered):
