@@ -75,7 +75,7 @@ class Remembered(dict):
 def in_worker(kind: str, path: str, make):
     """One object of a kind for all tasks of a Python worker: its memory outlives a task, and is bounded as ever."""
     held = sys.__dict__.setdefault("_graphloom_in_worker", {})
-    if held.get(kind, ("",))[0] != path:
+    if held.get(kind, (None,))[0] != path:
         held[kind] = (path, make())
     return held[kind][1]
 
