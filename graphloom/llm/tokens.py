@@ -73,11 +73,12 @@ class Remembered(dict):
 
 
 def in_worker(kind: str, path: str, make):
-    """One object of a kind for all tasks of a Python worker: its memory outlives a task, and is bounded as ever."""
+    """One object for all tasks of a Python worker: it outlives a task, until one of another kind or path takes its place."""
     held = sys.__dict__.setdefault("_graphloom_in_worker", {})
-    if held.get(kind, (None,))[0] != path:
-        held[kind] = (path, make())
-    return held[kind][1]
+    if (kind, path) not in held:
+        held.clear()
+        held[kind, path] = make()
+    return held[kind, path]
 
 
 class _Words(Remembered):
