@@ -2,11 +2,13 @@
 
 Base spans (emails, addresses, cards, phones) are found by pattern and checked.
 The method then protects them against inference: over the whole corpus it
-counts how often a term stands near a protected entity against how often either
-occurs.  The pointwise mutual information of term and entity, as a share of the
-entity's information content, says how far the term discloses it; a term over
-the threshold is generalised near that entity, one that all but names it is
-removed.
+counts in how many texts a term occurs together with a protected entity against
+how many hold either.  The pointwise mutual information of term and entity, as
+a share of the entity's information content, says how far the term discloses
+it; a term over the threshold is generalised wherever it stands, in texts
+without the entity too, and one that all but names it is removed.  One text, or
+copies and near copies of one, prove nothing: a pair counts only if the term
+stands between different neighbours in different texts.
 
 Patterns are written so that no text makes them slow or deep: a run is entered
 only where it begins or the last match ended, and repetition is possessive;
@@ -28,10 +30,11 @@ PATTERNS = (
     r"\+[0-9][ ().0-9-]+[0-9]",
 )
 _BYTE = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
-#: Characters of context on either side; distinct contexts that must hold term and entity; share of the
-#: entity's information at which a term is generalised, and removed.
-CONTEXT, SUPPORT, GENERALISE, REMOVE = 80, 2, 0.8, 0.95
-_WORD = r"\p{L}{3,}+"
+#: Distinct neighbourhoods (the words on both sides) and distinct texts in which a term must stand with an entity; share of
+#: the entity's information at which a term is generalised, and removed; parts that a frequent entity's rows are split into.
+SUPPORT, GENERALISE, REMOVE, SALTS = 2, 0.8, 0.95, 32
+#: A term: letters and digits, two at least.
+_WORD = r"[\p{L}\p{N}]++"
 
 
 def _luhn(digits: Column) -> Column:
@@ -58,8 +61,8 @@ def valid(kind: Column, value: Column) -> Column:
     )
 
 
-def matches(whole: DataFrame, context: int = CONTEXT) -> DataFrame:
-    """(key, copies, kind, idx, gap, value, before, after) per pattern match of every distinct text.
+def matches(whole: DataFrame) -> DataFrame:
+    """(key, copies, kind, idx, gap, value) per pattern match of every distinct text.
 
     ``gap`` is the length between the last match's end and this one's start.
     """
@@ -71,14 +74,13 @@ def matches(whole: DataFrame, context: int = CONTEXT) -> DataFrame:
     parts = [F.when(F.size(k) > 0, F.split(text, p, -1)) for p, k in zip(PATTERNS, KINDS)]
     each = F.array(*[F.struct(F.lit(i).alias("kind"), F.col(k).alias("m"), p.alias("p")) for i, (k, p) in enumerate(zip(KINDS, parts))])
     rows = some.select("key", F.explode(each).alias("e")).where("size(e.m) > 0").select("key", "e.kind", "e.p", F.posexplode("e.m").alias("idx", "value"))
-    before, after = F.get("p", F.col("idx")), F.get("p", F.col("idx") + 1)
-    flat = rows.select("key", "kind", "idx", "value", F.length(before).alias("gap"), F.right(before, F.lit(context)).alias("before"), F.left(after, F.lit(context)).alias("after"))
+    flat = rows.select("key", "kind", "idx", "value", F.length(F.get("p", F.col("idx"))).alias("gap"))
     # texts with one key are equal, so their matches are: one row for all copies
-    return flat.groupBy("key", "kind", "idx").agg(*[F.first(c).alias(c) for c in ("gap", "value", "before", "after")], F.count(F.lit(1)).alias("copies"))
+    return flat.groupBy("key", "kind", "idx").agg(*[F.first(c).alias(c) for c in ("gap", "value")], F.count(F.lit(1)).alias("copies"))
 
 
 def base_spans(found: DataFrame) -> DataFrame:
-    """(key, copies, kind, start, stop, entity, before, after): checked matches with code-point offsets, stop exclusive."""
+    """(key, copies, kind, start, stop, entity): checked matches with code-point offsets, stop exclusive."""
     so_far = Window.partitionBy("key", "kind").orderBy("idx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     size = F.length("value")
     start = F.sum(F.col("gap") + size).over(so_far) - size
@@ -87,66 +89,81 @@ def base_spans(found: DataFrame) -> DataFrame:
     return placed.withColumn("entity", F.md5(F.concat(F.col("kind").cast("string"), F.lit(":"), plain))).drop("value", "gap", "idx")
 
 
-def context_terms(spans: DataFrame) -> DataFrame:
-    """(key, copies, entity, context, term, start, stop): whole words within the context of a base span."""
+def terms(texts_: DataFrame) -> DataFrame:
+    """(key, copies, term, start, stop, around) per term of ``texts_ (key, copies, text)``; ``around`` hashes its neighbours."""
+    split = texts_.select("key", "copies", F.regexp_extract_all("text", F.lit(_WORD), F.lit(0)).alias("m"), F.split("text", _WORD, -1).alias("p")).where("size(m) > 0")
+    each = split.select("key", "copies", "p", "m", F.posexplode("m").alias("i", "word"))
+    near = F.xxhash64(F.lower(F.get("m", F.col("i") - 1)), F.lower(F.get("m", F.col("i") + 1)))
+    flat = each.select("key", "copies", "i", "word", near.alias("around"), F.length(F.get("p", F.col("i"))).alias("gap"))
+    so_far = Window.partitionBy("key").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    size = F.length("word")
+    stop = F.sum(F.col("gap") + size).over(so_far)
+    placed = flat.select("key", "copies", F.lower("word").alias("term"), (stop - size).cast("long").alias("start"), stop.cast("long").alias("stop"), "around")
+    return placed.where("stop - start >= 2")
 
-    def side(text: str, base: Column, cut: Column) -> DataFrame:
-        # a word that touches the cut end of the context may be part of a longer one
-        context = F.xxhash64("before", "after").alias("context")
-        inner = spans.select("key", "copies", "entity", context, base.alias("base"), cut.alias("inner"))
-        split = inner.select("*", F.regexp_extract_all("inner", F.lit(_WORD), F.lit(0)).alias("m"), F.split("inner", _WORD, -1).alias("p")).where("size(m) > 0")
-        each = split.select("key", "copies", "entity", "context", "base", "m", "p", F.posexplode("m").alias("i", "word"))
-        upto = lambda a, n: F.aggregate(F.slice(a, 1, n), F.lit(0), lambda s, x: s + F.length(x))
-        at = F.col("base") + upto(F.col("p"), F.col("i") + 1) + upto(F.col("m"), F.col("i"))
-        return each.select("key", "copies", "entity", "context", F.lower("word").alias("term"), at.cast("long").alias("start"), (at + F.length("word")).cast("long").alias("stop"))
 
-    head = F.length(F.regexp_extract("before", r"^[\p{L}\p{N}._%+-]*", 0))
-    skip = F.when(F.length("before") < F.lit(CONTEXT), F.lit(0)).otherwise(head)
-    left = side("before", F.col("start") - F.length("before") + skip, F.substring("before", skip + 1, F.length("before")))
-    tail = F.when(F.length("after") < F.lit(CONTEXT), F.col("after")).otherwise(F.regexp_replace("after", r"[\p{L}\p{N}._%+-]*$", ""))
-    return left.unionByName(side("after", F.col("stop"), tail))
+def keyed_texts(whole: DataFrame, keys: DataFrame) -> DataFrame:
+    """(key, copies, text): the distinct texts whose key is in ``keys (key)``."""
+    some = whole.select(F.md5("text").alias("key"), "text").join(broadcast_if_small(keys), "key", "left_semi")
+    return some.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.first("text").alias("text"))
 
 
-def term_frequencies(whole: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, df): rows whose text holds the term, over all rows."""
-    held = whole.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("term"))
-    return held.join(broadcast_if_small(terms), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+def held_terms(whole: DataFrame) -> DataFrame:
+    """(key, term) per row of ``whole`` and distinct term of its text."""
+    return whole.select(F.md5("text").alias("key"), F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))).alias("term"))
 
 
-def disclosing(whole: DataFrame, spans: DataFrame, near: DataFrame, support: int = SUPPORT, threshold: float = GENERALISE) -> DataFrame:
-    """(entity, term, disclosure) at or over the threshold.
+def disclosing(whole: DataFrame, spans: DataFrame, support: int = SUPPORT, threshold: float = GENERALISE) -> DataFrame:
+    """(term, disclosure): terms at or over the threshold for some entity, with the largest share of information.
 
-    Probabilities are shares of rows; the support counts distinct contexts, so
-    copies and near copies of one text prove nothing.
+    All three counts are of rows whose whole text holds the entity, the term,
+    or both.  Only entities of several texts can have pairs with support, so
+    only these texts are taken apart; a frequent entity's rows are added up in
+    parts first.
     """
-    entities = spans.select("entity", "key", "copies").distinct().groupBy("entity").agg(F.sum("copies").alias("df_e"))
-    once = near.groupBy("entity", "term", "key").agg(F.max("copies").alias("copies"), F.min("context").alias("context"))
-    pairs = once.groupBy("entity", "term").agg(F.sum("copies").alias("both"), F.count_distinct("context").alias("contexts"))
-    pairs = materialise(pairs.where(F.col("contexts") >= support))
+    held = spans.select("entity", "key", "copies").distinct()
+    entities = materialise(held.groupBy("entity").agg(F.sum("copies").alias("df_e"), F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= support))
+    nothing = entities.select(F.lit("").alias("term"), F.lit(0.0).alias("disclosure")).limit(0)
+    if entities.isEmpty():
+        return nothing
+    repeated = materialise(hot_split_lookup(held, entities, "entity", "texts", ["key"]).where("df_e is not null").select("entity", "key"))
+    found = materialise(terms(keyed_texts(whole, repeated.select("key").distinct())).groupBy("key", "copies", "term").agg(F.min("around").alias("least"), F.max("around").alias("most")))
+    # one text adds at most two neighbourhoods, its least and its largest: if all texts have the same two or one, they are copies
+    both = repeated.join(found, "key")
+    part = F.pmod(F.xxhash64("key"), F.lit(SALTS)).alias("part")
+    counts = [F.sum("copies").alias("both"), F.count(F.lit(1)).alias("texts")]
+    ends = [F.min("least").alias("a"), F.max("least").alias("b"), F.min("most").alias("c"), F.max("most").alias("d")]
+    split = both.groupBy("entity", "term", part).agg(*counts, *ends)
+    pairs = split.groupBy("entity", "term").agg(F.sum("both").alias("both"), F.sum("texts").alias("texts"), *[f(x).alias(x) for f, x in ((F.min, "a"), (F.max, "b"), (F.min, "c"), (F.max, "d"))])
+    pairs = materialise(pairs.where((F.col("texts") >= support) & ((F.col("a") != F.col("b")) | (F.col("c") != F.col("d")))).select("entity", "term", "both"))
     if pairs.isEmpty():
-        return pairs.select("entity", "term", F.lit(0.0).alias("disclosure"))
-    counts = materialise(term_frequencies(whole, materialise(pairs.select("term").distinct())))
+        return nothing
+    wanted = materialise(pairs.select("term").distinct())
+    df = materialise(held_terms(whole).join(broadcast_if_small(wanted), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df")))
     n = float(whole.count())
     information = F.log2(F.lit(n) / F.col("df_e"))
     pmi = F.log2(F.lit(n) * F.col("both") / (F.col("df") * F.col("df_e")))
-    scored = pairs.join(entities, "entity").join(broadcast_if_small(counts), "term").withColumn("disclosure", F.when(information > 0, pmi / information).otherwise(0.0))
-    return scored.where(F.col("disclosure") >= threshold).select("entity", "term", "disclosure")
+    joined = pairs.join(broadcast_if_small(entities), "entity").join(broadcast_if_small(df), "term")
+    scored = joined.withColumn("disclosure", F.when(information > 0, pmi / information).otherwise(0.0))
+    return scored.where(F.col("disclosure") >= threshold).groupBy("term").agg(F.max("disclosure").alias("disclosure"))
 
 
 def all_spans(whole: DataFrame) -> DataFrame:
     """(key, copies, kind, start, stop, mask): base spans and, as kind 4, disclosing terms, per distinct text."""
     spans = materialise(base_spans(matches(whole)))
-    near = materialise(context_terms(spans))
-    telling = materialise(disclosing(whole, spans, near))
-    hit = near.join(broadcast_if_small(telling), ["entity", "term"]).groupBy("key", "copies", "start", "stop").agg(F.max("disclosure").alias("disclosure"))
+    telling = materialise(disclosing(whole, spans))
     base = spans.select("key", "copies", "kind", "start", "stop", F.concat(F.lit("["), F.upper(F.element_at(F.array(*map(F.lit, KINDS)), F.col("kind") + 1)), F.lit("]")).alias("mask"))
-    terms = hit.select("key", "copies", F.lit(4).alias("kind"), "start", "stop", F.when(F.col("disclosure") >= REMOVE, F.lit("")).otherwise(F.lit("[TERM]")).alias("mask"))
+    if telling.isEmpty():
+        return base
+    keys = materialise(held_terms(whole).join(broadcast_if_small(telling), "term", "left_semi").select("key").distinct())
+    hit = terms(keyed_texts(whole, keys)).join(broadcast_if_small(telling), "term")
+    masked = hit.select("key", "copies", F.lit(4).alias("kind"), "start", "stop", F.when(F.col("disclosure") >= REMOVE, F.lit("")).otherwise(F.lit("[TERM]")).alias("mask"))
     # a term inside a base span is covered by it
     order = Window.partitionBy("key").orderBy("start", "kind", "stop")
     is_base = F.col("kind") < 4
     behind = F.max(F.when(is_base, F.col("stop"))).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     ahead = F.min(F.when(is_base, F.col("start"))).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    placed = base.unionByName(terms).withColumns({"__behind": behind, "__ahead": ahead})
+    placed = base.unionByName(masked).withColumns({"__behind": behind, "__ahead": ahead})
     free = (F.coalesce("__behind", F.lit(0)) <= F.col("start")) & (F.coalesce("__ahead", F.col("stop")) >= F.col("stop"))
     return placed.where(is_base | free).drop("__behind", "__ahead")
 
@@ -167,8 +184,10 @@ def per_text(whole: DataFrame) -> DataFrame:
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term.
 
-    A null or empty text has no spans.  Rows that repeat, ids that are null or
-    repeat, and tables without personal data are answered row by row.
+    A null or empty text has no spans; long texts are read whole.  Rows that
+    repeat, ids that are null or repeat, and tables without personal data are
+    answered row by row, an empty table with no row; further columns are passed
+    over.  ``n_term`` is 0 where no entity occurs in texts that aren't copies.
     """
     whole = texts(docs, id_col, text_col)
     count = lambda i: F.size(F.filter("spans", lambda s: s["kind"] == i)).cast("long")

@@ -401,18 +401,66 @@ def test_pii_base_spans(spark):
     assert pii.personal_data(table.limit(0)).count() == 0
 
 
-def test_pii_terms_that_disclose(spark):
+def plain_disclosing(rows):
+    """Terms over the threshold, counted pair by pair."""
+    import math
+
+    texts_of, n = [t or "" for _, t in rows], len(rows)
+    entities = defaultdict(set)
+    for t in set(texts_of):
+        for kind, a, b in plain_spans(t):
+            value = t[a:b].lower() if kind == "email" else t[a:b] if kind == "ip" else re.sub(r"[^0-9]", "", t[a:b])
+            entities[kind, value].add(t)
+    words = {t: re.findall(r"[^\W_]+", t) for t in set(texts_of)}
+    has = {t: {w.lower() for w in ws} for t, ws in words.items()}
+    out = {}
+    for held in entities.values():
+        df_e = sum(t in held for t in texts_of)
+        for term in set().union(*(has[t] for t in held)):
+            with_it = [t for t in held if term in has[t]]
+            around = {(ws[i - 1].lower() if i else None, ws[i + 1].lower() if i + 1 < len(ws) else None) for t in with_it for ws in [words[t]] for i in range(len(ws)) if ws[i].lower() == term}
+            per_text = [frozenset((ws[i - 1].lower() if i else None, ws[i + 1].lower() if i + 1 < len(ws) else None) for i in range(len(ws)) if ws[i].lower() == term) for ws in map(words.get, with_it)]
+            if len(term) < 2 or len(with_it) < 2 or len(around) < 2 or len(set(per_text)) < 2 or df_e == n:
+                continue
+            both, df = sum(t in with_it for t in texts_of), sum(term in has[t] for t in texts_of)
+            share = math.log2(n * both / (df * df_e)) / math.log2(n / df_e)
+            if share >= pii.GENERALISE - 1e-9:
+                out[term] = max(out.get(term, 0), share)
+    return out
+
+
+def disclosing_rows():
     rng = random.Random(2)
-    common = ["the", "and", "report", "from", "today", "with"]
+    common = ["the", "and", "report", "from", "today", "with", "über", "x9"]
     rows = [(i, " ".join(rng.choices(common, k=30))) for i in range(200)]
-    rows += [(200 + i, f"the report from zorblatt about {w} boss@corp.example.com and the rest") for i, w in enumerate(("today", "with", "and"))]
+    # the name is far from the address, two letters or digits will do, and it stands in a text without the address too
+    rows += [(200 + i, f"dear zorblatt {w} qi {w} 77120 " + " ".join(rng.choices(common, k=60)) + " boss@corp.example.com") for i, w in enumerate(("today", "with", "and", "from", "report", "the", "x9", "über"))]
+    rows += [(250, "only zorblatt today")]
+    # near copies of one text prove nothing about its other words
+    rows += [(260 + i, f"a lonely plinth stands here mail solo@corp.example.com {'and ' * i}") for i in range(4)]
     rows += [(300 + i, f"report from today mail user{i}@corp.example.com with the") for i in range(30)]
+    return rows + [(206, rows[206][1]), (None, None), (400, "")]
+
+
+def test_pii_terms_that_disclose(spark):
+    rows = disclosing_rows()
     table = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = table.selectExpr("doc_id", "coalesce(text, '') AS text")
+    spans = materialise(pii.base_spans(pii.matches(whole)))
+    got = {r["term"]: r["disclosure"] for r in pii.disclosing(whole, spans).collect()}
+    assert got == pytest.approx(plain_disclosing(rows)) and {"zorblatt", "qi", "77120"} <= set(got) and "plinth" not in got and "report" not in got
     out = {r["doc_id"]: (r["spans"], r["n_term"]) for r in pii.personal_data(table).collect()}
     start = rows[200][1].index("zorblatt")
-    assert f"term:{start}:{start + 8}" in out[200][0] and all(n == 0 for d, (_, n) in out.items() if d < 200 or d >= 300)
+    assert f"term:{start}:{start + 8}" in out[200][0] and out[250][1] == 1 and out[200][1] == 3
+    assert all(n == 0 for d, (_, n) in out.items() if d is not None and (d < 200 or d >= 260))
     clean = {r["doc_id"]: r["text"] for r in pii.sanitise(table).collect()}
-    assert "zorblatt" not in clean[200] and "[EMAIL]" in clean[200] and "boss@" not in clean[200] and clean[0] == rows[0][1] and clean[300].startswith("report from today mail [EMAIL] with")
+    assert "zorblatt" not in clean[200] + clean[250] and "[EMAIL]" in clean[200] and "boss@" not in clean[200] and clean[0] == rows[0][1] and clean[300].startswith("report from today mail [EMAIL] with")
+
+
+def test_pii_terms_planted_in_the_documents(spark, docs):
+    names = spark.createDataFrame([(10_000 + i, f"Regarding {w} Vantongeren, {w} account 5531907: call +44 20 7946 0958 {w}.") for i, w in enumerate(("soon", "late", "again", "never"))], "doc_id long, text string")
+    found = pii.personal_data(docs.select("doc_id", "text").unionByName(names)).where("n_term > 0").collect()
+    assert {r["doc_id"] for r in found} == {10_000, 10_001, 10_002, 10_003} and all(r["n_term"] >= 2 and r["n_phone"] == 1 for r in found)
 
 
 # ---- language model
