@@ -8,7 +8,7 @@ a share of the entity's information content, says how far the term discloses
 it; a term over the threshold is generalised wherever it stands, in texts
 without the entity too, and one that all but names it is removed.  One text, or
 copies and near copies of one, prove nothing: a pair counts only if the term
-stands between different neighbours in different texts.
+stands between as many different neighbours as half the texts that hold both.
 
 Patterns are written so that no text makes them slow or deep: a run is entered
 only where it begins or the last match ended, and repetition is possessive;
@@ -30,9 +30,9 @@ PATTERNS = (
     r"\+[0-9][ ().0-9-]+[0-9]",
 )
 _BYTE = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
-#: Distinct neighbourhoods (the words on both sides) and distinct texts in which a term must stand with an entity; share of
-#: the entity's information at which a term is generalised, and removed; parts that a frequent entity's rows are split into.
-SUPPORT, GENERALISE, REMOVE, SALTS = 2, 0.8, 0.95, 32
+#: Distinct neighbourhoods (the words on both sides) and distinct texts in which a term must stand with an entity, and distinct
+#: neighbourhoods a text; share of the entity's information at which a term is generalised, and removed.
+SUPPORT, INDEPENDENT, GENERALISE, REMOVE = 2, 0.5, 0.8, 0.95
 #: A term: letters and digits, two at least.
 _WORD = r"[\p{L}\p{N}]++"
 
@@ -118,8 +118,8 @@ def disclosing(whole: DataFrame, spans: DataFrame, support: int = SUPPORT, thres
 
     All three counts are of rows whose whole text holds the entity, the term,
     or both.  Only entities of several texts can have pairs with support, so
-    only these texts are taken apart; a frequent entity's rows are added up in
-    parts first.
+    only these texts are taken apart; a frequent entity's rows are added up by
+    neighbourhood first.
     """
     held = spans.select("entity", "key", "copies").distinct()
     entities = materialise(held.groupBy("entity").agg(F.sum("copies").alias("df_e"), F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= support))
@@ -127,15 +127,11 @@ def disclosing(whole: DataFrame, spans: DataFrame, support: int = SUPPORT, thres
     if entities.isEmpty():
         return nothing
     repeated = materialise(hot_split_lookup(held, entities, "entity", "texts", ["key"]).where("df_e is not null").select("entity", "key"))
-    found = materialise(terms(keyed_texts(whole, repeated.select("key").distinct())).groupBy("key", "copies", "term").agg(F.min("around").alias("least"), F.max("around").alias("most")))
-    # one text adds at most two neighbourhoods, its least and its largest: if all texts have the same two or one, they are copies
-    both = repeated.join(found, "key")
-    part = F.pmod(F.xxhash64("key"), F.lit(SALTS)).alias("part")
-    counts = [F.sum("copies").alias("both"), F.count(F.lit(1)).alias("texts")]
-    ends = [F.min("least").alias("a"), F.max("least").alias("b"), F.min("most").alias("c"), F.max("most").alias("d")]
-    split = both.groupBy("entity", "term", part).agg(*counts, *ends)
-    pairs = split.groupBy("entity", "term").agg(F.sum("both").alias("both"), F.sum("texts").alias("texts"), *[f(x).alias(x) for f, x in ((F.min, "a"), (F.max, "b"), (F.min, "c"), (F.max, "d"))])
-    pairs = materialise(pairs.where((F.col("texts") >= support) & ((F.col("a") != F.col("b")) | (F.col("c") != F.col("d")))).select("entity", "term", "both"))
+    found = materialise(terms(keyed_texts(whole, repeated.select("key").distinct())).groupBy("key", "copies", "term").agg(F.min("around").alias("least")))
+    # copies and near copies have the same words around a term but where an edit happens to be beside it
+    each = repeated.join(found, "key").groupBy("entity", "term", "least").agg(F.sum("copies").alias("both"), F.count(F.lit(1)).alias("texts"))
+    pairs = each.groupBy("entity", "term").agg(F.sum("both").alias("both"), F.sum("texts").alias("texts"), F.count(F.lit(1)).alias("around"))
+    pairs = materialise(pairs.where((F.col("texts") >= support) & (F.col("around") >= F.greatest(F.lit(support), F.col("texts") * INDEPENDENT))).select("entity", "term", "both"))
     if pairs.isEmpty():
         return nothing
     wanted = materialise(pairs.select("term").distinct())

@@ -418,9 +418,8 @@ def plain_disclosing(rows):
         df_e = sum(t in held for t in texts_of)
         for term in set().union(*(has[t] for t in held)):
             with_it = [t for t in held if term in has[t]]
-            around = {(ws[i - 1].lower() if i else None, ws[i + 1].lower() if i + 1 < len(ws) else None) for t in with_it for ws in [words[t]] for i in range(len(ws)) if ws[i].lower() == term}
             per_text = [frozenset((ws[i - 1].lower() if i else None, ws[i + 1].lower() if i + 1 < len(ws) else None) for i in range(len(ws)) if ws[i].lower() == term) for ws in map(words.get, with_it)]
-            if len(term) < 2 or len(with_it) < 2 or len(around) < 2 or len(set(per_text)) < 2 or df_e == n:
+            if len(term) < 2 or len(with_it) < 2 or len(set(per_text)) < max(2, len(with_it) / 2) or df_e == n:
                 continue
             both, df = sum(t in with_it for t in texts_of), sum(term in has[t] for t in texts_of)
             share = math.log2(n * both / (df * df_e)) / math.log2(n / df_e)
@@ -438,6 +437,7 @@ def disclosing_rows():
     rows += [(250, "only zorblatt today")]
     # near copies of one text prove nothing about its other words
     rows += [(260 + i, f"a lonely plinth stands here mail solo@corp.example.com {'and ' * i}") for i in range(4)]
+    rows += [(270 + i, f"a lonely plinth {w} here mail solo@corp.example.com {'and ' * i}") for i, w in enumerate(("stands", "falls", "stands", "stands"), 5)]
     rows += [(300 + i, f"report from today mail user{i}@corp.example.com with the") for i in range(30)]
     return rows + [(206, rows[206][1]), (None, None), (400, "")]
 
