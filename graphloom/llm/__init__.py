@@ -1,6 +1,6 @@
 """Operators for preparing language-model training data.
 
 Nothing else in the library imports this subpackage.  Each module holds one
-operator with a general interface; ``registry`` binds them to the tables of a
+operator with a general interface; ``queries`` binds them to the tables of a
 data directory.
 """

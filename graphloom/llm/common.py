@@ -19,7 +19,8 @@ BATCH_ROWS = 1000
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as ``spark.checkpoint.dir`` names it.
 
-    Only where the session names none (tests, a laptop) a folder is made.
+    Only where the session names none and runs on one machine (tests, a laptop)
+    a folder is made; on a cluster that would be another one for each executor.
     """
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir")
@@ -30,6 +31,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not sc.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="graphloom-"))
     return sc._jsc.sc().getCheckpointDir().get()
 

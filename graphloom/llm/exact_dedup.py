@@ -9,7 +9,6 @@ shuffle, in which no group can hold more than that.
 
 from __future__ import annotations
 
-import hashlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -25,13 +24,9 @@ COUNTERS = 1024
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, digest, text_key): SHA-256 of the text with A-Z lower-cased; null text is empty."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = [hashlib.sha256(t.as_py().lower()).digest() for t in b.column(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary()), b.column(1)], ["doc_id", "digest", "text_key"])
-
-    whole = texts(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("text_key"), F.col("text").cast("binary").alias("text"))
-    return whole.mapInArrow(run, "doc_id long, digest binary, text_key long")
+    whole = texts(docs, id_col, text_col)
+    low = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return whole.select("doc_id", F.unhex(F.sha2(low.cast("binary"), 256)).alias("digest"), F.xxhash64("text").alias("text_key"))
 
 
 def _shrink(counts: Counter, counters: int) -> Counter:

@@ -98,7 +98,9 @@ def url_filter(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     """One row per page: page_id, host, path, rule, verdict, n_patterns.
 
     Null or malformed urls have an empty host and path and fit no list rule; a
-    null url matches no pattern and is allowed.  Repeated rows are judged each.
+    null url matches no pattern and is allowed.  Repeated rows are judged each,
+    urls of any length whole; an empty table gives no row, and further columns
+    are passed over.
     Nothing is shuffled but one count per literal token.
     """
     base = pages.select(named(id_col).cast("long").alias("page_id"), named(url_col).cast("string").alias("url"))

@@ -198,7 +198,11 @@ def reachable_entries(manifest: DataFrame, exits: DataFrame) -> DataFrame:
 
 
 def read_archives(manifest: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """One row per response or revisit record reachable from its file's start."""
+    """One row per response or revisit record reachable from its file's start.
+
+    A record on the way that is cut off or malformed is an error, as what
+    stands behind it can't be found.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow.fs import FileSystem
@@ -213,7 +217,10 @@ def read_archives(manifest: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFr
                 fs, base = FileSystem.from_uri(path)
                 with fs.open_input_file(base) as file:
                     window, stop = _Window(file, size, split_bytes + (1 << 16)), (at // split_bytes + 1) * split_bytes
-                    while at < min(stop, size) and (to := _next(window, at)) is not None:
+                    while at < min(stop, size):
+                        to = _next(window, at)
+                        if to is None:
+                            raise ValueError(f"{path}: no well-formed record at offset {at}")
                         fields, body = window.header(at)
                         kind = fields.get("warc-type")
                         if kind in ("response", "revisit"):
@@ -242,6 +249,8 @@ def warc_round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "u
     A null html is an empty payload, a null id an empty record name.  Rows
     that repeat the largest id of a payload group are all responses; where all
     ids of a group are null there is nothing to refer to, and all are responses.
+    Payloads of any length are written whole, and an empty table gives no row;
+    further columns are passed over.
     """
     base = f"{shared_dir(pages.sparkSession).rstrip('/')}/warc-{uuid.uuid4().hex}"
     return read_archives(write_archives(pages, base, id_col, url_col, html_col))
