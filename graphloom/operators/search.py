@@ -74,7 +74,7 @@ def ranked(symbols: DataFrame, score: Column, name: str = "name", top: int = TOP
 
 def one_file_each(files: DataFrame, file: str, in_workspace: str, width: str) -> DataFrame:
     """A file in several packages counts once: in the workspace first, in the widest package then."""
-    w = Window.partitionBy(file).orderBy(F.desc(in_workspace), F.desc(width))
+    w = Window.partitionBy(file).orderBy(F.desc(in_workspace), F.desc(width), *[c for c in files.columns if c not in (file, in_workspace, width)])
     return files.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
 
 
@@ -83,5 +83,6 @@ def penalty(depth: Column, unexported: Column, functions: Column) -> Column:
 
 
 def top_per_group(rows: DataFrame, group: str, score: str, n: int = 3) -> DataFrame:
-    w = Window.partitionBy(group).orderBy(F.desc(score))
+    """The best ``n`` of each group; equal scores by the other columns, in their order."""
+    w = Window.partitionBy(group).orderBy(F.desc(score), *[c for c in rows.columns if c not in (group, score)])
     return rows.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= n).drop("__rn")

@@ -17,7 +17,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
-    sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="graphloom-"))
+    configured = sc.getConf().get("spark.checkpoint.dir")
+    if not configured and sc.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    sc.setCheckpointDir(configured or "file://" + tempfile.mkdtemp(prefix="graphloom-"))
 
 
 def settle(df: DataFrame) -> DataFrame:

@@ -52,6 +52,11 @@ def run_once(df: DataFrame, folder: str, mode: str, name: str) -> DataFrame:
     return df.sparkSession.table(name)
 
 
-def upsert_sink(df: DataFrame, folder: str, keys: list[str], write) -> object:
-    """Latest row per key of every micro-batch to ``write(rows, epoch)``: an upsert sink."""
-    return df.writeStream.outputMode("update").option("checkpointLocation", folder).foreachBatch(lambda rows, epoch: write(rows.dropDuplicates(keys), epoch)).start()
+def upsert_sink(df: DataFrame, folder: str, keys: list[str], latest: str, write) -> object:
+    """The row of largest ``latest`` per key of every micro-batch to ``write(rows, epoch)``: an upsert sink."""
+
+    def newest(rows: DataFrame, epoch: int) -> None:
+        whole = F.struct(*rows.columns)
+        write(rows.groupBy(*keys).agg(F.max_by(whole, F.struct(latest, whole)).alias("__row")).select("__row.*"), epoch)
+
+    return df.writeStream.outputMode("update").option("checkpointLocation", folder).foreachBatch(newest).start()
