@@ -3,15 +3,13 @@
 Nodes of the graph are the whole words that a share of all documents holds,
 labelled or not.  Seeds come from a bounded sample of labelled rows: words that
 its toxic documents hold far more often than chance, and control words out of
-the same documents that tell nothing.  An edge joins a
-seed and any node, weighted by the positive pointwise mutual information of
-their co-occurrence at every distance within a window, over all documents.
-
-Walks that restart at the toxic and at the clean seeds run over this graph.
-Between two visits of seeds a walk passes at most one other word, so the other
-words can be summed out: one distributed pass over the edges gives the seeds'
-two-step transitions, the walks are solved on the seeds alone, exactly, and a
-second pass gives every word its two visiting probabilities.  Their contrast is
+the same documents that tell nothing.  An edge joins any
+two nodes, weighted by the positive pointwise mutual information of
+their co-occurrence at every distance within a window, over all documents
+(``word_graph``).
+
+Walks that restart at the toxic and at the clean seeds run over this graph
+until they settle, which gives every word two visiting probabilities.  Their contrast is
 the word's polarity, unless labelled documents refute it.  Beginnings that a whole family of polar words shares
 (where many letters follow, and nearly all words are toxic) stand for family
 members too rare to be nodes.  Documents are scored from the polarities of
@@ -36,13 +34,14 @@ from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, largest, materialise, named, summed_arrays, texts
 from .tokens import Remembered, in_worker
+from .word_graph import coded, graph, walks
 
 #: Labelled rows at most; toxic and clean seeds at most.
 SAMPLE, SEEDS, CONTROLS = 40_000, 128, 256
 #: Words on either side that co-occur; chance of a walk to restart; count at which a pair's evidence weighs half.
 WINDOW, RESTART, DAMP = 20, 0.3, 8.0
 #: A node's least share of all documents and least number of them (with a mean of 300 distinct words a document there are at
-#: most 300 / SHARE nodes); nodes counted in one pass over the documents, the rest take further passes.
+#: most 300 / SHARE nodes); rows of the graph that one task counts at most.
 SHARE, LEAST, NODES_AT_ONCE = 2e-4, 10, 500_000
 #: Polarity that counts; a stem's least and most letters, family members, letters that follow, share of toxic members.
 CUT, STEM, FAMILY, FOLLOW, TOXIC_SHARE = 0.5, (4, 8), 6, 4, 0.9
@@ -199,7 +198,7 @@ def controls(labelled: DataFrame, strong: dict[str, float], plain: DataFrame, mo
 
 
 def pair_counts(docs: DataFrame, seeds: list[str], nodes: list[str], window: int = WINDOW) -> DataFrame:
-    """(pair, n) over all documents; with ``size`` nodes and A seeds, which come first among the nodes, pair is
+    """The pairs of few seeds only (the query takes all pairs, by ``word_graph``): (pair, n) over all documents; with ``size`` nodes and A seeds, which come first among the nodes, pair is
 
     seed * size + node: how often the node stands within the window of the seed;
     A * size + node: how often the node occurs; (A + 1) * size + seed: places
@@ -316,7 +315,7 @@ def walk_on_seeds(out: np.ndarray, through: np.ndarray, between: np.ndarray, sta
 
 
 def walk_polarity(vectors: DataFrame, toxic: np.ndarray, clean: np.ndarray, restart: float = RESTART) -> DataFrame:
-    """(word, polarity) for every node, from the restarting walks at ``toxic`` and ``clean`` (weights by seed)."""
+    """On a graph with edges of the seeds only, solved directly: (word, polarity) for every node, from the restarting walks at ``toxic`` and ``clean`` (weights by seed)."""
     first = len(toxic)
     numbered = vectors.withColumn("part", F.spark_partition_id())
 
@@ -351,6 +350,24 @@ def walk_polarity(vectors: DataFrame, toxic: np.ndarray, clean: np.ndarray, rest
     return vectors.mapInArrow(run, "word string, polarity double")
 
 
+def graph_polarity(docs: DataFrame, frequent: DataFrame, strong: dict[str, float], mild: list[str], window: int = WINDOW, restart: float = RESTART) -> DataFrame:
+    """(word, polarity) for every word of ``frequent (word, df)``, from the walks at toxic and clean seeds over the graph of all of them."""
+    nodes = [r["word"] for r in sorted(frequent.select("word", "df").collect(), key=lambda r: (-r["df"], r["word"]))]  # at most 300 / SHARE and the seeds
+    shared = docs.sparkSession.sparkContext.broadcast(nodes)
+
+    def codes() -> Values:
+        known = {w: i for i, w in enumerate(shared.value)}
+        return Values(np.int32, lambda w: known.get(w, -1))
+
+    held, occurrences, places = coded(docs, codes, len(nodes), window)
+    clean = set(mild)
+    starts = np.array([[strong.get(w, 0.0) for w in nodes], [float(w in clean) for w in nodes]])
+    up, down = walks(graph(held, occurrences, places, window, NODES_AT_ONCE), places, DAMP, starts, restart)
+    little = (1 - restart) / len(nodes)  # an average word's visits: evidence below it counts for little
+    found = pd.DataFrame({"word": nodes, "polarity": (up - down) / (up + down + little)})
+    return docs.sparkSession.createDataFrame(found, "word string, polarity double")
+
+
 def verified(polarity: DataFrame, counts: DataFrame, n_toxic: float, n_clean: float) -> DataFrame:
     """``polarity`` with 0 for words that the walk calls toxic but at least three labelled documents show to tell nothing."""
     t, c = F.coalesce("toxic", F.lit(0)), F.coalesce("clean", F.lit(0))
@@ -397,17 +414,10 @@ def induce(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return Lexicon()
     seeds = [*strong, *mild]
     some = docs.sparkSession.createDataFrame([(w,) for w in seeds], "word string")
-    frequent = table.where((F.col("word") != "") & (F.col("df") >= max(LEAST, SHARE * head["df"]))).select("word", "toxic", "clean")
-    nodes = materialise(frequent.join(F.broadcast(some), "word", "left_anti"))
-    blocks = max(1, math.ceil(nodes.count() / NODES_AT_ONCE))
-    vectors = None
-    for k in range(blocks):
-        block = sorted(r["word"] for r in nodes.where(F.pmod(F.xxhash64("word"), F.lit(blocks)) == k).collect())  # about NODES_AT_ONCE
-        more = edges(whole, seeds, seeds + block)
-        vectors = more if vectors is None else vectors.unionByName(more.where("own < 0"))
-    toxic, clean = np.zeros(len(seeds)), np.zeros(len(seeds))
-    toxic[: len(strong)], clean[len(strong) :] = list(strong.values()), 1
-    polarity = materialise(verified(walk_polarity(vectors, toxic, clean), nodes, float(head["toxic"]), float(head["clean"])))
+    enough = F.col("df") >= max(LEAST, SHARE * head["df"])
+    marked = table.where("word != ''").join(F.broadcast(some.withColumn("seed", F.lit(True))), "word", "left").where(enough | F.col("seed"))
+    frequent = materialise(marked)
+    polarity = materialise(verified(graph_polarity(whole, frequent, strong, mild), frequent.where("seed IS NULL"), float(head["toxic"]), float(head["clean"])))
     lexicon = Lexicon({r["word"]: r["polarity"] for r in polarity.where(F.abs("polarity") >= CUT).collect()}, {r["stem"]: r["polarity"] for r in stems(polarity).collect()})
     held = whole.join(F.broadcast(sample), "doc_id").select("text", "toxic")
 
