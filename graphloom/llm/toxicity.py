@@ -34,7 +34,8 @@ from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, largest, materialise, named, summed_arrays, texts
 from .tokens import Remembered, in_worker
-from .word_graph import coded, graph, walks
+from .word_graph import coded, graph, kept_codes, walks
+from .word_hashes import Hashes, Table
 
 #: Labelled rows at most; toxic and clean seeds at most.
 SAMPLE, SEEDS, CONTROLS = 40_000, 128, 256
@@ -74,6 +75,42 @@ class Values(Remembered):
         return np.frombuffer(b"".join(map(self.__getitem__, text.lower().split())), self.kind)
 
 
+class Codes:
+    """Texts -> for each the numbers of its words among ``nodes``, -1 for others."""
+
+    def __init__(self, nodes: list[str]):
+        self.hashes = Hashes()
+        self.table = Table(self.hashes.of_words(nodes), np.arange(len(nodes), dtype=np.int32), -1)
+
+    def of_all(self, texts: list[str]) -> list[np.ndarray]:
+        found = self.hashes.of(texts)
+        return np.split(self.table.of(found.hashes), np.cumsum(found.counts)[:-1]) if texts else []
+
+
+class Polarities:
+    """Texts -> for each the polarities of its words, as ``Lexicon.of_word`` gives them."""
+
+    def __init__(self, polarity: dict[str, float], stems: dict[str, float]):
+        self.hashes = Hashes()
+        self.words, self.stems = (Table(self.hashes.of_words(list(x)), np.array(list(x.values()), np.float32), none) for x, none in ((polarity, 0), (stems, np.nan)))
+        self.any_stem = bool(stems)
+
+    def of_all(self, texts: list[str]) -> list[np.ndarray]:
+        found = self.hashes.of(texts)
+        p = self.words.of(found.hashes)
+        if self.any_stem:
+            open_ = np.ones(len(p), bool)
+            for at, beginning in self.hashes.prefixes(found, *STEM):
+                of_stem = self.stems.of(beginning)
+                hit = open_[at] & ~np.isnan(of_stem)
+                p[at[hit]] = np.maximum(p[at[hit]], of_stem[hit])
+                open_[at[hit]] = False
+        return np.split(p, np.cumsum(found.counts)[:-1]) if texts else []
+
+    def of(self, text: str) -> np.ndarray:
+        return self.of_all([text])[0]
+
+
 @dataclass
 class Lexicon:
     """Polarity in [-1, 1] by word and by stem, and the curve from document features to a score."""
@@ -90,8 +127,8 @@ class Lexicon:
                     return max(own, self.stems[word[:k]])
         return own
 
-    def values(self) -> Values:
-        return Values(np.float32, self.of_word)
+    def values(self) -> Polarities:
+        return Polarities(self.polarity, self.stems)
 
     def features(self, p: np.ndarray) -> tuple[float, float, float]:
         found = p[p >= CUT]
@@ -124,25 +161,43 @@ def tallies(labelled: DataFrame) -> DataFrame:
     """(word, df, toxic, clean): documents that hold the word, all and by label (null for most); word "" counts documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: tuple[Counter, Counter, Counter] = (Counter(), Counter(), Counter())
-        words = in_worker("toxicity words", "", Words)
+        hashes, seen = in_worker("toxicity words", "", Hashes), np.zeros(1 << 20, np.uint64)
+        names: dict[int, str] = {}
+        held: tuple[list, list, list] = ([], [], [])  # words of all, toxic and clean documents, each once a document
+        documents, waiting = [0, 0, 0], 0
 
         def rows() -> pa.RecordBatch:
-            held = list(counts[0])
-            cols = [pa.array([c[w] for w in held], pa.int64()) for c in counts]
-            for c in counts:
-                c.clear()
-            return pa.RecordBatch.from_arrays([pa.array(held, pa.string()), *cols], ["word", "df", "toxic", "clean"])
+            numbers, cols = None, []
+            for k, x in enumerate(held):
+                each, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *x]), return_counts=True)
+                numbers = each if numbers is None else numbers
+                cols.append(np.zeros(len(numbers) + 1, np.int64))
+                cols[-1][np.searchsorted(numbers, each)], cols[-1][-1] = n, documents[k]
+                documents[k] = 0
+                x.clear()
+            words = pa.array([*map(names.__getitem__, numbers.tolist()), ""], pa.string())
+            names.clear()
+            seen.fill(0)
+            return pa.RecordBatch.from_arrays([words, *map(pa.array, cols)], ["word", "df", "toxic", "clean"])
 
         for b in batches:
-            for t, label in zip(b.column(0), b.column(1).to_pylist()):
-                held = set(chain.from_iterable(map(words.__getitem__, set(t.as_py().lower().split()))))
-                held.add("")
-                counts[0].update(held)
-                if label is not None:
-                    counts[1 if label else 2].update(held)
-            if len(counts[0]) > _FLUSH:
+            found = hashes.of(b.column(0).to_pylist())
+            slot = found.hashes >> np.uint64(44)
+            perhaps = np.flatnonzero(seen[slot] != found.hashes)
+            number, first = np.unique(found.hashes[perhaps], return_index=True)
+            seen[slot[perhaps]] = found.hashes[perhaps]
+            new = np.array([k not in names for k in number.tolist()], bool)
+            names.update(zip(number[new].tolist(), found.words(perhaps[first[new]])))
+            ends = np.cumsum(found.counts)
+            for low, high, label in zip((ends - found.counts).tolist(), ends.tolist(), b.column(1).to_pylist()):
+                x = np.unique(found.hashes[low:high])
+                waiting += len(x)
+                for k in (0,) if label is None else (0, 1 if label else 2):
+                    held[k].append(x)
+                    documents[k] += 1
+            if len(names) > _FLUSH or waiting > _PAIRS:
                 yield rows()
+                waiting = 0
         yield rows()
 
     each = labelled.select("text", "toxic").mapInArrow(run, "word string, df long, toxic long, clean long")
@@ -355,14 +410,12 @@ def graph_polarity(docs: DataFrame, frequent: DataFrame, strong: dict[str, float
     nodes = [r["word"] for r in sorted(frequent.select("word", "df").collect(), key=lambda r: (-r["df"], r["word"]))]  # at most 300 / SHARE and the seeds
     shared = docs.sparkSession.sparkContext.broadcast(nodes)
 
-    def codes() -> Values:
-        known = {w: i for i, w in enumerate(shared.value)}
-        return Values(np.int32, lambda w: known.get(w, -1))
-
-    held, occurrences, places = coded(docs, codes, len(nodes), window)
     clean = set(mild)
     starts = np.array([[strong.get(w, 0.0) for w in nodes], [float(w in clean) for w in nodes]])
-    up, down = walks(graph(held, occurrences, places, window, NODES_AT_ONCE), places, DAMP, starts, restart)
+    with kept_codes(docs.sparkSession) as path:
+        held, occurrences, places = coded(docs, lambda: Codes(shared.value), len(nodes), window, path)
+        joined = graph(held, occurrences, places, window, NODES_AT_ONCE)
+    up, down = walks(joined, places, DAMP, starts, restart)
     little = (1 - restart) / len(nodes)  # an average word's visits: evidence below it counts for little
     found = pd.DataFrame({"word": nodes, "polarity": (up - down) / (up + down + little)})
     return docs.sparkSession.createDataFrame(found, "word string, polarity double")
@@ -419,12 +472,12 @@ def induce(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     frequent = materialise(marked)
     polarity = materialise(verified(graph_polarity(whole, frequent, strong, mild), frequent.where("seed IS NULL"), float(head["toxic"]), float(head["clean"])))
     lexicon = Lexicon({r["word"]: r["polarity"] for r in polarity.where(F.abs("polarity") >= CUT).collect()}, {r["stem"]: r["polarity"] for r in stems(polarity).collect()})
-    held = whole.join(F.broadcast(sample), "doc_id").select("text", "toxic")
+    held, name = whole.join(F.broadcast(sample), "doc_id").select("text", "toxic"), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        values, rows = lexicon.values(), []
+        values, rows = in_worker("toxicity features", name, lexicon.values), []
         for b in batches:
-            rows += [(*lexicon.features(values.of(t.as_py())), y) for t, y in zip(b.column(0), b.column(1).to_pylist())]
+            rows += [(*lexicon.features(p), y) for p, y in zip(values.of_all(b.column(0).to_pylist()), b.column(1).to_pylist())]
         yield pa.RecordBatch.from_arrays([pa.array([np.array(rows, float).tobytes()], pa.binary())], ["rows"])
 
     rows = np.concatenate([np.frombuffer(r["rows"], float).reshape(-1, 4) for r in held.mapInArrow(run, "rows binary").collect()])  # the sample's features
@@ -439,7 +492,7 @@ def score_column(lexicon: Lexicon, text_col: str):
     @F.pandas_udf("double")
     def score(text: pd.Series) -> pd.Series:
         held, values = in_worker("toxicity scores", name, lambda: (lambda x: (x, x.values()))(Lexicon(*parts)))
-        return pd.Series([held.score(values.of(t)) for t in text], dtype=float)
+        return pd.Series([held.score(p) for p in values.of_all(text.tolist())], dtype=float)
 
     return score(F.coalesce(named(text_col).cast("string"), F.lit("")))
 

@@ -5,7 +5,7 @@ Pairs are not shuffled: documents are coded once as numbers of nodes, and each
 task reads the codes of all documents and counts the pairs of a block of rows in
 an array.  A pair belongs to the row of its rarer word.  Only pairs that occur
 more often than chance are edges; they stay in the shared folder, compressed,
-and each step of the walks is a pass over them.
+and each step towards the walks' visits is a pass over them.
 """
 
 from __future__ import annotations
@@ -17,41 +17,63 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BATCH_ROWS, materialise, summed_arrays
+from .common import BATCH_ROWS, materialise, shared_dir, summed_arrays
 from .tokens import in_worker
 
 #: Words in a row of codes; bytes of a block's counts, and occurrences of its words (or this part of all); cells in a row of edges; tasks of a step.
 SCAN, BYTES, OCCURRENCES, PART_OF_ALL, SLICE, PARTS = 1_000_000, 128_000_000, 2_000_000, 24, 2_000_000, 12
-#: The walks end when a step moves less than this share of all visits.
+#: The walks have settled when a step moves less than this share of all visits.
 MOVED = 1e-5
 
 
 @contextmanager
 def wide_rows(spark: SparkSession, rows: int = 4):
-    """Few rows in a batch for Python, as each holds megabytes."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    spark.conf.set(key, str(rows))
+    """Few rows in a batch for Python and from Parquet, as each holds megabytes."""
+    arrow, parquet = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize"
+    before = spark.conf.get(parquet)
+    spark.conf.set(arrow, str(rows))
+    spark.conf.set(parquet, str(rows))
     try:
         yield
     finally:
-        spark.conf.set(key, str(BATCH_ROWS))
+        spark.conf.set(arrow, str(BATCH_ROWS))
+        spark.conf.set(parquet, before)
+
+
+@contextmanager
+def kept_codes(spark: SparkSession):
+    """A folder for codes in the shared folder, removed in the end."""
+    path = f"{shared_dir(spark).rstrip('/')}/codes-{uuid.uuid4().hex}"
+    try:
+        yield path
+    finally:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def packed(x: np.ndarray) -> bytes:
-    """Numbers below 2**32, compressed byte place by byte place."""
-    places = np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T)
-    return pa.compress(places.tobytes(), "lz4_raw", asbytes=True)
+    """Numbers below 2**32, compressed byte place by byte place, after the number of places that are needed."""
+    x = x.astype("<u4")
+    k = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
+    places = np.ascontiguousarray(x.view(np.uint8).reshape(-1, 4).T[:k])
+    return bytes([k]) + pa.compress(places.tobytes(), "lz4_raw", asbytes=True)
 
 
 def unpacked(blob: pa.Scalar, n: int) -> np.ndarray:
-    places = np.frombuffer(pa.decompress(blob.as_buffer(), 4 * n, "lz4_raw"), np.uint8).reshape(4, n) if n else np.zeros((4, 0), np.uint8)
-    out = np.empty((n, 4), np.uint8)
-    for k in range(4):
-        out[:, k] = places[k]
-    return out.view("<u4").ravel()
+    held = blob.as_buffer()
+    if not n:
+        return np.zeros(0, np.uint32)
+    k = held[0]
+    k = k[0] if isinstance(k, bytes) else k
+    places = np.frombuffer(pa.decompress(held.slice(1), k * n, "lz4_raw"), np.uint8).reshape(k, n)
+    out = places[0].astype(np.uint32)
+    for j in range(1, k):
+        out |= places[j].astype(np.uint32) << np.uint32(8 * j)
+    return out
 
 
 def cells(row):
@@ -59,10 +81,10 @@ def cells(row):
     return row * (row - 1) // 2
 
 
-def coded(docs: DataFrame, values: Callable, size: int, window: int) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+def coded(docs: DataFrame, values: Callable, size: int, window: int, path: str) -> tuple[DataFrame, np.ndarray, np.ndarray]:
     """((n, codes) of all documents; by node its occurrences; by node the places within windows of it, and at the end those of all words).
 
-    ``values()`` makes what codes a text: node, or -1 for another word.  Codes are stored 2 higher, a 0 being the gap between documents.
+    ``values()`` makes what codes texts: node, or -1 for another word.  Codes are stored in ``path``, 2 higher, a 0 being the gap between documents.
     """
     name = uuid.uuid4().hex
 
@@ -89,9 +111,9 @@ def coded(docs: DataFrame, values: Callable, size: int, window: int) -> tuple[Da
 
         for b in batches:
             part = b.column(1)[0].as_py() if b.num_rows else part
-            for t in b.column(0):
-                held += [found.of(t.as_py()), gap]
-                waiting += len(held[-2]) + window
+            for x in found.of_all(b.column(0).to_pylist()):
+                held += [x, gap]
+                waiting += len(x) + window
                 if waiting > SCAN:
                     yield counted()
                     waiting = 0
@@ -99,10 +121,13 @@ def coded(docs: DataFrame, values: Callable, size: int, window: int) -> tuple[Da
             yield counted()
             yield row(0, None, sums.tobytes())
 
-    held = materialise(docs.select("text", F.spark_partition_id().cast("long").alias("part")).mapInArrow(run, "part long, n long, codes binary, sums binary"))
-    sums = summed_arrays(held.where("sums IS NOT NULL").select("part", "sums"))
+    each = docs.select("text", F.spark_partition_id().cast("long").alias("part")).mapInArrow(run, "part long, n long, codes binary, sums binary")
+    each.write.options(**{"compression": "none", "parquet.enable.dictionary": "false"}).parquet(path)
+    with wide_rows(docs.sparkSession):
+        held = docs.sparkSession.read.parquet(path)
+        sums = summed_arrays(held.where("sums IS NOT NULL").select("part", "sums"))
     sums = np.zeros(2 * size + 1) if sums is None else sums
-    return held.where("codes IS NOT NULL").select("n", "codes"), sums[:size], sums[size:]
+    return held.where("n > 0").select("n", "codes"), sums[:size], sums[size:]
 
 
 def kind(most: float, window: int) -> type:
@@ -129,23 +154,22 @@ def graph(codes: DataFrame, occurrences: np.ndarray, places: np.ndarray, window:
     """The edges: of rows from ``low`` to ``high`` how many each has, steps from cell to cell, and counts of the pairs."""
     spark, cuts = codes.sparkSession, blocks(occurrences, window, at_once)
     shared = spark.sparkContext.broadcast((places, [(*x, kind(occurrences[slice(*x)].max(), window)) for x in cuts]))
-    near_by = np.r_[-window:0, 1 : window + 1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slots, of = shared.value
+        (slots, of), two = shared.value, np.uint32(2)
         table, low, high, width = None, 0, 0, np.uint32
         for b in batches:  # of one block
             if table is None and b.num_rows:
                 low, high, width = of[b.column(2)[0].as_py()]
                 table = np.zeros(cells(high) - cells(low), width)
             for n, c in zip(b.column(0).to_pylist(), b.column(1)):
-                x = unpacked(c, n).view(np.int32) - np.int32(2)
-                of_block = np.flatnonzero((x - np.int32(low)).view(np.uint32) < np.uint32(high - low))
-                for k in range(0, len(of_block), 20_000):
-                    at = of_block[k : k + 20_000]
-                    row, near = x[at], x[at[:, None] + near_by]
-                    ok = near.view(np.uint32) < row.view(np.uint32)[:, None]  # other words and gaps are above all
-                    np.add.at(table, near[ok] + np.repeat(cells(row.astype(np.int64)) - cells(low), ok.sum(axis=1)), width(1))
+                x = unpacked(c, n)
+                of_block, around = np.flatnonzero(x - np.uint32(low + 2) < np.uint32(high - low)), sliding_window_view(x, 2 * window + 1)
+                for k in range(0, len(of_block), 4000):
+                    at = of_block[k : k + 4000]
+                    row, near = x[at] - two, around[at - window] - two
+                    ok = near < row[:, None]  # other words and gaps are above all
+                    np.add.at(table, near[ok] + np.repeat(cells(row.astype(np.int64)) - cells(low), np.count_nonzero(ok, axis=1)), width(1))
         a = low
         while a < high:
             rows = np.arange(a, min(high, max(a + 1, int((1 + math.sqrt(1 + 8 * (cells(a) + SLICE))) / 2))))
@@ -184,7 +208,8 @@ def spread(edges: DataFrame, places: np.ndarray, damping: float, u: np.ndarray)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (slots, u), sums, part = shared.value, np.zeros((k, size)), None
-        log = np.log(np.maximum(slots, 1e-9))
+        log, few = np.log(np.maximum(slots, 1e-9)), np.arange(4096)
+        log_few, damped_few = np.log(np.maximum(few, 1)), few / (few + damping)
         for b in batches:
             for i in range(b.num_rows):
                 part, low, high, n = (b.column(j)[i].as_py() for j in (6, 0, 1, 2))
@@ -192,15 +217,19 @@ def spread(edges: DataFrame, places: np.ndarray, damping: float, u: np.ndarray)
                 lengths = unpacked(b.column(3)[i], high - low)
                 key = np.cumsum(unpacked(b.column(4)[i], n), dtype=np.int64)
                 col = key - np.repeat(cells(rows) - cells(low), lengths)
-                count = unpacked(b.column(5)[i], n).astype(float)
-                w = np.log(count)
+                count = unpacked(b.column(5)[i], n)
+                many = np.flatnonzero(count > 4095)
+                small = np.minimum(count, 4095)
+                w, damped = log_few[small], damped_few[small]
+                w[many], damped[many] = np.log(count[many]), count[many] / (count[many] + damping)
                 w += np.repeat(log[-1] - log[low:high], lengths)
                 w -= log[col]
-                w *= count / (count + damping)
-                own = np.repeat(rows - low, lengths)
+                w *= damped
+                some = np.flatnonzero(lengths)
+                begin = (np.cumsum(lengths, dtype=np.int64) - lengths)[some]
                 for out, v in zip(sums, u):
                     out[:high] += np.bincount(col, w * np.repeat(v[low:high], lengths), high)
-                    out[low:high] += np.bincount(own, w * v[col], high - low)
+                    out[low + some] += np.add.reduceat(w * v[col], begin)
         if part is not None:
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([sums.tobytes()], pa.binary())], ["part", "sums"])
 
@@ -215,8 +244,17 @@ def walks(edges: DataFrame, places: np.ndarray, damping: float, starts: np.ndarr
     """Share of visits of each node by the walks that restart at each row of ``starts``."""
     out = spread(edges, places, damping, np.ones((1, starts.shape[1])))[0]
     start = starts / np.maximum(starts.sum(axis=1, keepdims=True), 1e-12)
-    p, moved = start, 1.0
-    while moved > MOVED:
-        more = restart * start + (1 - restart) * spread(edges, places, damping, np.divide(p, out, out=np.zeros_like(p), where=out > 0))
-        p, moved = more, float(np.abs(more - p).sum(axis=1).max())
-    return p
+    root = np.sqrt(np.maximum(out, 0))
+    part = np.divide(1, root, out=np.zeros_like(root), where=root > 0)
+    ratio = lambda a, b: np.divide(a, b, out=np.zeros_like(a), where=b > 0)[:, None]
+    # visits times ``part`` solve a symmetric system, whose residual times ``root`` is what a step of the walk would move: conjugate gradients
+    x = restart * start * part
+    left = (1 - restart) * part * spread(edges, places, damping, x * part)
+    along, length = left, (left**2).sum(axis=1)
+    while np.abs(left * root).sum(axis=1).max() > MOVED:
+        ahead = along - (1 - restart) * part * spread(edges, places, damping, along * part)
+        far = ratio(length, (along * ahead).sum(axis=1))
+        x, left = x + far * along, left - far * ahead
+        before, length = length, (left**2).sum(axis=1)
+        along = left + ratio(length, before) * along
+    return np.where(root > 0, x * root, restart * start)
