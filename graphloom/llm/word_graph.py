@@ -2,8 +2,9 @@
 
 Every two nodes that occur within a window of each other somewhere are counted.
 Pairs are not shuffled: documents are coded once as numbers of nodes, and each
-task reads the codes of all documents and counts the pairs of a block of rows in
-an array.  A pair belongs to the row of its rarer word.  Only pairs that occur
+task reads the codes of all documents and counts the pairs of a block of rows,
+in an array of all cells, or by sorting where the rows' words are so rare that
+the pairs take less room than the cells.  A pair belongs to the row of its rarer word.  Only pairs that occur
 more often than chance are edges; they stay in the shared folder, compressed,
 and each step towards the walks' visits is a pass over them.
 """
@@ -24,8 +25,10 @@ from pyspark.sql import functions as F
 from .common import BATCH_ROWS, materialise, shared_dir, summed_arrays
 from .tokens import in_worker
 
-#: Words in a row of codes; bytes of a block's counts, and occurrences of its words (or this part of all); cells in a row of edges; tasks of a step.
-SCAN, BYTES, OCCURRENCES, PART_OF_ALL, SLICE, PARTS = 1_000_000, 128_000_000, 2_000_000, 24, 2_000_000, 12
+#: Words in a row of codes; bytes of a block's counts, and occurrences of its words (or this part of all); tasks of a step.
+SCAN, BYTES, OCCURRENCES, PART_OF_ALL, PARTS = 1_000_000, 128_000_000, 2_000_000, 24, 12
+#: Bytes of a pair's place where pairs are sorted; cells looked at together; edges in a row of edges, about, and cells below 2**32.
+PLACE, SLICE, EDGES_AT_ONCE, FAR = 16, 2_000_000, 1_000_000, 2**31
 #: The walks have settled when a step moves less than this share of all visits.
 MOVED = 1e-5
 
@@ -135,16 +138,24 @@ def kind(most: float, window: int) -> type:
     return np.uint16 if most * 2 * window < 2**16 else np.uint32
 
 
-def blocks(occurrences: np.ndarray, window: int, at_once: int) -> list[tuple[int, int]]:
-    """(first row, row after the last) of blocks with bounded bytes, occurrences and rows, of one row at least."""
+def blocks(occurrences: np.ndarray, window: int, at_once: int) -> list[tuple[int, int, type | None]]:
+    """(first row, row after the last, kind of the counts or None where pairs are sorted) of blocks with bounded bytes, occurrences and rows, of one row at least."""
     limit, out, low, seen, most = max(OCCURRENCES, occurrences.sum() / PART_OF_ALL), [], 0, 0.0, 0.0
+
+    def sizes(high: int) -> tuple[float, float]:
+        return (cells(high) - cells(low)) * np.dtype(kind(most, window)).itemsize, PLACE * 2 * window * seen
+
+    def block(high: int) -> tuple[int, int, type | None]:
+        table, pairs = sizes(high)
+        return low, high, kind(most, window) if table <= pairs else None
+
     for a, n in enumerate(occurrences.tolist()):
-        size = (cells(a + 1) - cells(low)) * np.dtype(kind(max(most, n), window)).itemsize
-        if a > low and (size > BYTES or seen + n > limit or a - low >= at_once):
-            out.append((low, a))
-            low, seen, most = a, 0.0, 0.0
-        seen, most = seen + n, max(most, n)
-    return [*out, (low, len(occurrences))] if len(occurrences) else []
+        before, (seen, most) = (seen, most), (seen + n, max(most, n))
+        if a > low and (min(sizes(a + 1)) > BYTES or seen > limit or a - low >= at_once):
+            seen, most = before
+            out.append(block(a))
+            low, seen, most = a, n, n
+    return [*out, block(len(occurrences))] if len(occurrences) else []
 
 
 EDGES = "low long, high long, n long, lengths binary, steps binary, counts binary"
@@ -153,38 +164,65 @@ EDGES = "low long, high long, n long, lengths binary, steps binary, counts binar
 def graph(codes: DataFrame, occurrences: np.ndarray, places: np.ndarray, window: int, at_once: int) -> DataFrame:
     """The edges: of rows from ``low`` to ``high`` how many each has, steps from cell to cell, and counts of the pairs."""
     spark, cuts = codes.sparkSession, blocks(occurrences, window, at_once)
-    shared = spark.sparkContext.broadcast((places, [(*x, kind(occurrences[slice(*x)].max(), window)) for x in cuts]))
+    shared = spark.sparkContext.broadcast((places, [(*x, 2 * window * int(occurrences[x[0] : x[1]].sum())) for x in cuts]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (slots, of), two = shared.value, np.uint32(2)
-        table, low, high, width = None, 0, 0, np.uint32
+        table, filled, low, high, width = None, 0, 0, 0, None
         for b in batches:  # of one block
             if table is None and b.num_rows:
-                low, high, width = of[b.column(2)[0].as_py()]
-                table = np.zeros(cells(high) - cells(low), width)
+                low, high, width, pairs = of[b.column(2)[0].as_py()]
+                table = np.empty(pairs, np.int64) if width is None else np.zeros(cells(high) - cells(low), width)
             for n, c in zip(b.column(0).to_pylist(), b.column(1)):
+                if n <= 2 * window:  # a gap only
+                    continue
                 x = unpacked(c, n)
                 of_block, around = np.flatnonzero(x - np.uint32(low + 2) < np.uint32(high - low)), sliding_window_view(x, 2 * window + 1)
                 for k in range(0, len(of_block), 4000):
                     at = of_block[k : k + 4000]
                     row, near = x[at] - two, around[at - window] - two
                     ok = near < row[:, None]  # other words and gaps are above all
-                    np.add.at(table, near[ok] + np.repeat(cells(row.astype(np.int64)) - cells(low), np.count_nonzero(ok, axis=1)), width(1))
-        a = low
+                    cell = near[ok] + np.repeat(cells(row.astype(np.int64)) - cells(low), np.count_nonzero(ok, axis=1))
+                    if width is None:
+                        table[filled : filled + len(cell)] = cell
+                        filled += len(cell)
+                    else:
+                        np.add.at(table, cell, width(1))
+        if table is None:
+            return
+        keys = counts = np.zeros(0, np.int64)
+        if width is None and filled:
+            table = table[:filled]
+            table.sort()
+            other = np.ones(filled, bool)
+            np.not_equal(table[1:], table[:-1], out=other[1:])
+            first = np.flatnonzero(other)
+            keys, table = table[first], None
+            counts = np.diff(first, append=filled)
+        a, begun, held = low, low, []
         while a < high:
-            rows = np.arange(a, min(high, max(a + 1, int((1 + math.sqrt(1 + 8 * (cells(a) + SLICE))) / 2))))
-            begin = cells(rows) - cells(a)
-            cut = table[cells(a) - cells(low) : cells(rows[-1] + 1) - cells(low)]
-            key = np.flatnonzero(cut)
-            row = np.searchsorted(begin, key, "right") - 1
-            n = cut[key].astype(float)
-            more = n * slots[-1] > slots[rows[row]] * slots[key - begin[row]]
-            key, row, n = key[more], row[more], n[more]
-            blobs = (np.bincount(row, minlength=len(rows)), np.diff(key, prepend=0), n)
-            cols = [pa.array([int(v)], pa.int64()) for v in (a, rows[-1] + 1, len(key))] + [pa.array([packed(v)], pa.binary()) for v in blobs]
-            if len(key):
-                yield pa.RecordBatch.from_arrays(cols, ["low", "high", "n", "lengths", "steps", "counts"])
-            a += len(rows)
+            top = min(high, max(a + 1, int((1 + math.sqrt(1 + 8 * (cells(a) + SLICE))) / 2)))
+            begin = cells(np.arange(a, top + 1)) - cells(low)
+            if width is None:
+                some = slice(*np.searchsorted(keys, begin[[0, -1]]))
+                key, n = keys[some], counts[some]
+            else:
+                cut = table[begin[0] : begin[-1]]
+                key = np.flatnonzero(cut)
+                n = cut[key]
+                key += begin[0]
+            lengths = np.diff(np.searchsorted(key, begin))
+            row, n = np.repeat(np.arange(a, top), lengths), n.astype(float)
+            more = n * slots[-1] > slots[row] * slots[key - np.repeat(begin[:-1], lengths)]
+            held.append((row[more], key[more], n[more]))
+            a = top
+            if a == high or sum(len(x[1]) for x in held) >= EDGES_AT_ONCE or cells(a) - cells(begun) > FAR:
+                row, key, n = (np.concatenate(x) for x in zip(*held))
+                blobs = (np.bincount(row - begun, minlength=a - begun), np.diff(key, prepend=cells(begun) - cells(low)), n)
+                cols = [pa.array([int(v)], pa.int64()) for v in (begun, a, len(key))] + [pa.array([packed(v)], pa.binary()) for v in blobs]
+                if len(key):
+                    yield pa.RecordBatch.from_arrays(cols, ["low", "high", "n", "lengths", "steps", "counts"])
+                begun, held = a, []
 
     with wide_rows(spark):
         each = spark.range(0, len(cuts), 1, max(1, len(cuts))).withColumnRenamed("id", "block")
