@@ -28,7 +28,9 @@ from .tokens import in_worker
 #: Words in a row of codes; bytes of a block's counts, and occurrences of its words (or this part of all); tasks of a step.
 SCAN, BYTES, OCCURRENCES, PART_OF_ALL, PARTS = 1_000_000, 128_000_000, 2_000_000, 24, 12
 #: Bytes of a pair's place where pairs are sorted; cells looked at together; edges in a row of edges, about, and cells below 2**32.
-PLACE, SLICE, EDGES_AT_ONCE, FAR = 16, 2_000_000, 1_000_000, 2**31
+PLACE, SLICE, EDGES_AT_ONCE, FAR = 16, 2_000_000, 500_000, 2**31
+#: The quicker one for codes, which every block reads; the smaller one for edges.
+CODECS = ("lz4_raw", "zstd")
 #: The walks have settled when a step moves less than this share of all visits.
 MOVED = 1e-5
 
@@ -58,21 +60,20 @@ def kept_codes(spark: SparkSession):
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def packed(x: np.ndarray) -> bytes:
-    """Numbers below 2**32, compressed byte place by byte place, after the number of places that are needed."""
+def packed(x: np.ndarray, codec: int = 0) -> bytes:
+    """Numbers below 2**32, compressed byte place by byte place, after the number of places that are needed and that of the codec."""
     x = x.astype("<u4")
     k = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
     places = np.ascontiguousarray(x.view(np.uint8).reshape(-1, 4).T[:k])
-    return bytes([k]) + pa.compress(places.tobytes(), "lz4_raw", asbytes=True)
+    return bytes([k, codec]) + pa.compress(places.tobytes(), CODECS[codec], asbytes=True)
 
 
 def unpacked(blob: pa.Scalar, n: int) -> np.ndarray:
-    held = blob.as_buffer()
     if not n:
         return np.zeros(0, np.uint32)
-    k = held[0]
-    k = k[0] if isinstance(k, bytes) else k
-    places = np.frombuffer(pa.decompress(held.slice(1), k * n, "lz4_raw"), np.uint8).reshape(k, n)
+    held = blob.as_buffer()
+    k, codec = held.slice(0, 2).to_pybytes()
+    places = np.frombuffer(pa.decompress(held.slice(2), k * n, CODECS[codec]), np.uint8).reshape(k, n)
     out = places[0].astype(np.uint32)
     for j in range(1, k):
         out |= places[j].astype(np.uint32) << np.uint32(8 * j)
@@ -219,7 +220,7 @@ def graph(codes: DataFrame, occurrences: np.ndarray, places: np.ndarray, window:
             if a == high or sum(len(x[1]) for x in held) >= EDGES_AT_ONCE or cells(a) - cells(begun) > FAR:
                 row, key, n = (np.concatenate(x) for x in zip(*held))
                 blobs = (np.bincount(row - begun, minlength=a - begun), np.diff(key, prepend=cells(begun) - cells(low)), n)
-                cols = [pa.array([int(v)], pa.int64()) for v in (begun, a, len(key))] + [pa.array([packed(v)], pa.binary()) for v in blobs]
+                cols = [pa.array([int(v)], pa.int64()) for v in (begun, a, len(key))] + [pa.array([packed(v, 1)], pa.binary()) for v in blobs]
                 if len(key):
                     yield pa.RecordBatch.from_arrays(cols, ["low", "high", "n", "lengths", "steps", "counts"])
                 begun, held = a, []
