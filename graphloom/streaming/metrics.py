@@ -46,10 +46,23 @@ def paired_spans(starts: DataFrame, ends: DataFrame, late: str, longest: str) ->
 
 
 def run_once(df: DataFrame, folder: str, mode: str, name: str) -> DataFrame:
-    """Drive a stream over all that is available now, with its checkpoint in a shared folder; the result as a table."""
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", folder).trigger(availableNow=True).start()
+    """Drive a stream over all that is available now; the result is read from files beside its checkpoint, in a shared folder.
+
+    Executors write the rows and none reach the driver.  In complete mode a
+    batch has the whole result, so the last one counts; else all of them do.
+    A batch that is run again takes its own place.
+    """
+    spark, done = df.sparkSession, []
+
+    def write(rows: DataFrame, epoch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{folder}/out/{epoch}")
+        done.append(f"{folder}/out/{epoch}")
+
+    q = df.writeStream.queryName(name).outputMode(mode).option("checkpointLocation", f"{folder}/state").foreachBatch(write).trigger(availableNow=True).start()
     q.awaitTermination()
-    return df.sparkSession.table(name)
+    if not done:
+        return spark.createDataFrame([], df.schema)
+    return spark.read.schema(df.schema).parquet(*(done[-1:] if mode == "complete" else done))
 
 
 def upsert_sink(df: DataFrame, folder: str, keys: list[str], latest: str, write) -> object:

@@ -1,6 +1,9 @@
 """What keeps queries whole on large tables: what is shuffled, what reaches the driver, what is compared."""
 
+from pyspark.sql import functions as F
+
 from graphloom.operators import codeindex
+from graphloom.streaming import metrics
 
 
 def test_implementing_pairs_are_not_shuffled(spark):
@@ -17,3 +20,17 @@ def test_types_of_several_rows(spark):
     types = spark.createDataFrame([(1, ["a"]), (1, ["b", "a"]), (2, ["b"])], "type long, methods array<string>")
     faces = spark.createDataFrame([("i", ["a", "a"]), ("i", ["b"]), ("j", ["a", "b"])], "interface string, methods array<string>")
     assert sorted(map(tuple, codeindex.implements(types, faces).collect())) == [(1, "i"), (1, "j"), (2, "i")]
+
+
+def test_stream_results_stay_out_of_the_driver(spark, tmp_path):
+    rows = spark.range(1000).select((F.col("id") % 50).alias("k"), F.timestamp_seconds(F.col("id") * 60).alias("ts"))
+    rows.write.parquet(f"{tmp_path}/in")
+    stream = metrics.read_events(spark, f"{tmp_path}/in", rows.schema)
+    by_name = lambda: {t.name for t in spark.catalog.listTables()}
+    held = by_name()
+    out = metrics.run_once(metrics.sessions(stream, "k", "ts", "2 hours", "1 hour"), f"{tmp_path}/run", "complete", "sessions_of_test")
+    assert by_name() == held and len(out.inputFiles()) > 0  # files, no table in the driver's memory
+    assert (out.count(), out.agg(F.sum("count")).first()[0]) == (50, 1000)
+    in_batches = metrics.counts(metrics.read_events(spark, f"{tmp_path}/in", rows.schema, max_files=1), ["k"], "k")
+    assert [r["count"] for r in metrics.run_once(in_batches, f"{tmp_path}/batches", "complete", "batches_of_test").collect()] == [20] * 50
+    assert metrics.run_once(stream.where("k < 0"), f"{tmp_path}/none", "append", "nothing_of_test").count() == 0
