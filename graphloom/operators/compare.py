@@ -71,12 +71,12 @@ def deltas(pairs: DataFrame, metric: str, only_changed: bool = False) -> DataFra
 
 
 def by_delta(found: DataFrame) -> DataFrame:
-    """Biggest change first, then name; a change from or to zero comes last."""
-    return found.orderBy(F.col("mag").asc(), "name")
+    """Biggest change first, then name, then parse order, so that no tie is open; a change from or to zero comes last."""
+    return found.orderBy(F.col("mag").asc(), "name", "ord")
 
 
 def by_parse_order(found: DataFrame) -> DataFrame:
-    return found.orderBy("ord")
+    return found.orderBy("ord", "name")
 
 
 def best(rows: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from graphloom.operators import codeindex
+from graphloom.operators import codeindex, compare
 from graphloom.streaming import metrics
 
 
@@ -34,3 +34,9 @@ def test_stream_results_stay_out_of_the_driver(spark, tmp_path):
     in_batches = metrics.counts(metrics.read_events(spark, f"{tmp_path}/in", rows.schema, max_files=1), ["k"], "k")
     assert [r["count"] for r in metrics.run_once(in_batches, f"{tmp_path}/batches", "complete", "batches_of_test").collect()] == [20] * 50
     assert metrics.run_once(stream.where("k < 0"), f"{tmp_path}/none", "append", "nothing_of_test").count() == 0
+
+
+def test_equal_changes_of_a_name_come_in_parse_order(spark):
+    rows = spark.createDataFrame([("a", i, 2.0, 1.0, 0.5, 0.5) for i in reversed(range(9))] + [("b", 0, 1.0, 9.0, 9.0, 1 / 9)], "name string, ord int, before double, after double, ratio double, mag double").coalesce(1)
+    assert [(r["name"], r["ord"]) for r in compare.by_delta(rows).collect()] == [("b", 0)] + [("a", i) for i in range(9)]
+    assert [r["name"] for r in compare.by_parse_order(rows).collect()][:2] == ["a", "b"]
