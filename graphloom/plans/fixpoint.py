@@ -24,9 +24,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Compute once and cut the lineage; survives lost executors, as the folder is shared."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Compute once and cut the lineage; survives lost executors, as the folder is shared.
+
+    The rows come back without an estimate of their size: a checkpoint keeps
+    that of its plan, taken from compressed files, and with it Spark would
+    broadcast millions of edges in every round.  Joins are decided by the
+    sizes met at run time.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    kept = df.checkpoint(eager=True)._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(kept.queryExecution().toRdd(), kept.schema(), False), spark)
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

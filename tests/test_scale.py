@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from graphloom.operators import codeindex, compare
+from graphloom.plans.fixpoint import settle
 from graphloom.streaming import metrics
 
 
@@ -40,3 +41,13 @@ def test_equal_changes_of_a_name_come_in_parse_order(spark):
     rows = spark.createDataFrame([("a", i, 2.0, 1.0, 0.5, 0.5) for i in reversed(range(9))] + [("b", 0, 1.0, 9.0, 9.0, 1 / 9)], "name string, ord int, before double, after double, ratio double, mag double").coalesce(1)
     assert [(r["name"], r["ord"]) for r in compare.by_delta(rows).collect()] == [("b", 0)] + [("a", i) for i in range(9)]
     assert [r["name"] for r in compare.by_parse_order(rows).collect()][:2] == ["a", "b"]
+
+
+def test_size_of_settled_rows_is_not_guessed_from_compressed_files(spark, tmp_path):
+    spark.range(2_000_000).select((F.col("id") % 9).alias("src"), (F.col("id") % 7).alias("dst")).coalesce(1).write.parquet(f"{tmp_path}/edges")
+    read = spark.read.parquet(f"{tmp_path}/edges")
+    size = lambda df: int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    edges = settle(read)
+    assert size(read) < 10 << 20 < 32_000_000 <= size(edges)  # else they would be broadcast in every round
+    assert "Broadcast" not in edges.alias("a").join(edges.alias("b"), F.col("a.src") == F.col("b.dst"))._jdf.queryExecution().sparkPlan().toString()
+    assert edges.count() == 2_000_000
