@@ -52,7 +52,8 @@ def dominators(edges: DataFrame, root: DataFrame) -> DataFrame:
 
     A dominator lies on every path, so on the breadth-first tree path too: the
     candidates are tree ancestors, and one falls when some predecessor of the
-    node lacks it.  No pair of unrelated nodes is ever formed.
+    node lacks it.  No pair of unrelated nodes is ever formed.  All pairs are
+    checked once; after that only what fell in the last round can bring down more.
     """
     from .graph import levels
 
@@ -60,20 +61,25 @@ def dominators(edges: DataFrame, root: DataFrame) -> DataFrame:
     known = depth.withColumnRenamed("id", "src").select("src", F.col("depth").alias("d1"))
     out = edges.select("src", "dst").where("src != dst").distinct().join(known, "src")
     out = settle(out.join(depth.withColumnRenamed("id", "dst"), "dst").where("depth > 0").select("src", "dst", "d1", "depth"))
-    parent = settle(out.where("d1 = depth - 1").groupBy("dst").agg(F.min("src").alias("parent")))
-
-    def up(newest: DataFrame, _: int) -> DataFrame:
-        return newest.join(parent, newest["dominator"] == parent["dst"]).select("id", F.col("parent").alias("dominator"))
-
-    held = settle(grow(depth.select("id", F.col("id").alias("dominator")), up, ["id", "dominator"]))
-    preds = settle(out.groupBy("dst").agg(F.count(F.lit(1)).alias("n")))
-    while True:
-        agreed = out.join(held, out["src"] == held["id"]).groupBy(F.col("dst").alias("id"), "dominator").agg(F.count(F.lit(1)).alias("agree"))
-        checked = held.join(preds.withColumnRenamed("dst", "id"), "id", "left").join(agreed, ["id", "dominator"], "left")
-        kept = settle(checked.where("id = dominator OR agree = n").select("id", "dominator"))
-        if kept.count() == held.count():
-            return kept
-        held = kept
+    parent = settle(out.where("d1 = depth - 1").groupBy("dst", "depth").agg(F.min("src").alias("parent")))
+    layer, level = settle(depth.where("depth = 0").select("id", F.array("id").alias("path"))), 0
+    paths = layer
+    while not layer.isEmpty():  # a node's tree path is its parent's and itself: every node is seen once
+        level += 1
+        below = parent.where(F.col("depth") == level).select("dst", "parent")
+        layer = settle(layer.join(below, layer["id"] == below["parent"]).select(F.col("dst").alias("id"), F.array_append("path", F.col("dst")).alias("path")))
+        paths = settle(paths.unionByName(layer)) if level % 32 == 0 else paths.unionByName(layer)
+    held = settle(paths.select("id", F.explode("path").alias("dominator")))
+    preds = out.groupBy("dst").agg(F.count(F.lit(1)).alias("n"))
+    agreed = out.join(held, out["src"] == held["id"]).groupBy(F.col("dst").alias("id"), "dominator").agg(F.count(F.lit(1)).alias("agree"))
+    checked = held.where("id != dominator").join(preds.withColumnRenamed("dst", "id"), "id").join(agreed, ["id", "dominator"], "left")
+    fallen = checked.where("agree IS NULL OR agree < n").select("id", "dominator")
+
+    def follow(newest: DataFrame, _: int) -> DataFrame:
+        hit = newest.join(out, newest["id"] == out["src"]).where("dst != dominator").select(F.col("dst").alias("id"), "dominator").distinct()
+        return hit.join(held, ["id", "dominator"], "left_semi")
+
+    return held.join(grow(fallen, follow, ["id", "dominator"]), ["id", "dominator"], "left_anti")
 
 
 def immediate_dominators(dom: DataFrame) -> DataFrame:

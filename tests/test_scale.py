@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from graphloom.operators import codeindex, compare, ordering
+from graphloom.operators import codeindex, compare, dataflow, ordering
 from graphloom.plans.fixpoint import settle
 from graphloom.streaming import metrics
 
@@ -64,3 +64,22 @@ def test_postorder_streams_small_graphs(spark):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", held)
     assert got == sorted((f"g{g:03}", n, g % 5 + 1 - n) for g in range(40) for n in range(g % 5 + 2))
+
+
+def test_dominators_check_all_pairs_once(spark, monkeypatch):
+    pairs = [(0, 1), (0, 6), (1, 2), (2, 3), (3, 4), (4, 5), (6, 2), (6, 7), (7, 8), (8, 5), (4, 1), (5, 9), (9, 9)]
+    whole = []
+    monkeypatch.setattr(dataflow, "settle", lambda df: whole.append(sorted(df.columns)) or settle(df))
+    found = dataflow.dominators(spark.createDataFrame(pairs, "src long, dst long"), spark.createDataFrame([(0,)], "id long"))
+    assert whole.count(["dominator", "id"]) == 1  # not the whole table in every round
+
+    def reach(without):
+        seen, todo = set(), [0] if without else []
+        while todo:
+            n = todo.pop()
+            if n not in seen and n != without:
+                seen.add(n)
+                todo += [b for a, b in pairs if a == n]
+        return seen
+
+    assert sorted(map(tuple, found.collect())) == sorted((n, d) for n in range(10) for d in range(10) if n == d or n not in reach(d))
