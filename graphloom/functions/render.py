@@ -65,20 +65,41 @@ def unified_diff(before: Column, after: Column, context: int = 3) -> Column:
 EDITS = "array<struct<start:int,end:int,new:string>>"
 
 
+def _differ():
+    """A function of two texts, made here so that it is pickled by value."""
+
+    def one(x: str | None, y: str | None) -> list[dict]:
+        from difflib import SequenceMatcher
+
+        p, q = (x or "").splitlines(True), (y or "").splitlines(True)
+        at = [0]
+        for line in p:
+            at.append(at[-1] + len(line.encode()))
+        ops = SequenceMatcher(None, p, q, autojunk=False).get_opcodes()
+        return [{"start": at[i1], "end": at[i2], "new": "".join(q[j1:j2])} for tag, i1, i2, j1, j2 in ops if tag != "equal"]
+
+    return one
+
+
+def _applier():
+    def one(x: str | None, changes) -> str:
+        raw, out, at = (x or "").encode(), [], 0
+        for c in sorted(changes if changes is not None else [], key=lambda c: (c["start"], c["end"])):
+            if c["start"] < at or c["end"] > len(raw):
+                raise ValueError("edits overlap or lie outside the text")
+            out += [raw[at : c["start"]], c["new"].encode()]
+            at = c["end"]
+        return b"".join([*out, raw[at:]]).decode()
+
+    return one
+
+
 def line_edits(before: Column, after: Column) -> Column:
     """Line-wise edits: half-open byte ranges of the old text and what replaces them."""
+    one = _differ()
+
     @F.pandas_udf(EDITS)
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        from difflib import SequenceMatcher
-
-        def one(x: str | None, y: str | None) -> list[dict]:
-            p, q = (x or "").splitlines(True), (y or "").splitlines(True)
-            at = [0]
-            for line in p:
-                at.append(at[-1] + len(line.encode()))
-            ops = SequenceMatcher(None, p, q, autojunk=False).get_opcodes()
-            return [{"start": at[i1], "end": at[i2], "new": "".join(q[j1:j2])} for tag, i1, i2, j1, j2 in ops if tag != "equal"]
-
         return pd.Series([one(x, y) for x, y in zip(a, b)])
 
     return run(before, after)
@@ -86,17 +107,26 @@ def line_edits(before: Column, after: Column) -> Column:
 
 def apply_edits(text: Column, edits: Column) -> Column:
     """The text with sorted, non-overlapping edits applied; others are an error."""
+    one = _applier()
+
     @F.pandas_udf("string")
     def run(t: pd.Series, e: pd.Series) -> pd.Series:
-        def one(x: str | None, changes) -> str:
-            raw, out, at = (x or "").encode(), [], 0
-            for c in sorted(changes if changes is not None else [], key=lambda c: (c["start"], c["end"])):
-                if c["start"] < at or c["end"] > len(raw):
-                    raise ValueError("edits overlap or lie outside the text")
-                out += [raw[at : c["start"]], c["new"].encode()]
-                at = c["end"]
-            return b"".join([*out, raw[at:]]).decode()
-
         return pd.Series([one(x, c) for x, c in zip(t, e)])
 
     return run(text, edits)
+
+
+def round_trip(before: Column, after: Column) -> Column:
+    """(n, ok): how many line edits there are, and whether applying them gives the text; a worker holds one row's edits at a time."""
+    differ, applier = _differ(), _applier()
+
+    @F.pandas_udf("n int, ok boolean")
+    def run(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        ns, oks = [], []
+        for x, y in zip(a, b):
+            edits = differ(x, y)
+            ns.append(len(edits))
+            oks.append(None if y is None else applier(x, edits) == y)
+        return pd.DataFrame({"n": ns, "ok": pd.Series(oks, dtype=object)})
+
+    return run(before, after)

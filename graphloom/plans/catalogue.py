@@ -642,8 +642,7 @@ def html_text(s, d):
 def diff_round_trip(s, d):
     """Edits between a page's html and its text, and whether applying them gives the text."""
     p = T(s, d, "pages").select("page_id", "html", text.text_of_html(F.col("html")).alias("t"))
-    e = p.withColumn("edits", render.line_edits(F.col("html"), F.col("t")))
-    return e.select("page_id", F.size("edits").alias("n"), (render.apply_edits(F.col("html"), F.col("edits")) == F.col("t")).alias("ok"))
+    return p.select("page_id", render.round_trip(F.col("html"), F.col("t")).alias("r")).select("page_id", "r.n", "r.ok")
 
 
 # ---- output formats

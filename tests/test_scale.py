@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from graphloom.functions import render
 from graphloom.operators import codeindex, compare, dataflow, ordering
+from graphloom.plans import catalogue
 from graphloom.plans.fixpoint import settle
 from graphloom.streaming import metrics
 
@@ -83,3 +85,10 @@ def test_dominators_check_all_pairs_once(spark, monkeypatch):
         return seen
 
     assert sorted(map(tuple, found.collect())) == sorted((n, d) for n in range(10) for d in range(10) if n == d or n not in reach(d))
+
+
+def test_round_trip_keeps_no_edits(spark):
+    rows = spark.createDataFrame([("a\nb\nc\n", "a\nx\nc\n"), ("", "é\n"), ("ü\nz", "ü\nz"), (None, "q"), ("q", None)], "a string, b string").select("a", "b", render.round_trip(F.col("a"), F.col("b")).alias("r"))
+    assert [(r["r"]["n"], r["r"]["ok"]) for r in rows.collect()] == [(1, True), (1, True), (0, True), (1, True), (1, None)]
+    plan = catalogue.QUERIES["diff_round_trip"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "new:string" not in plan and plan.count("ArrowEvalPython") == 1  # edits of a batch aren't sent back and forth
